@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grouped_split, mixing, tokenize, topn
+from . import grouped_split, lookalike, mixing, tokenize, topn, variants
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,8 +41,20 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.variant_pairs(table(spark, sf, "source1"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.same_looking_pairs(table(spark, sf, "source1"))
+
+
+def p6_forms(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.one_form(table(spark, sf, "source1"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_ranked, p7_ids, p8_mixture, p8_shares)
+    f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_ranked, p4_found, p6_found, p6_forms, p7_ids, p8_mixture, p8_shares)
 }
 
 ORACLES: dict[str, str] = {}
