@@ -168,7 +168,8 @@ def words_alike(a: str, b: str) -> bool:
         a, b = b, a
     if len(a) <= 3:
         return b.startswith(a)
-    return edits(a, b, 2) <= (1 if len(a) < 6 else 2) and jaro_winkler(a, b) >= 0.86
+    n = edits(a, b, 2)
+    return n <= 1 or n <= 2 and len(a) >= 6 and jaro_winkler(a, b) >= 0.86
 
 
 def cores_alike(a: Name, b: Name) -> bool:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import grouped_split, lookalike, mixing, tokenize, topn, variants
+from . import grouped_split, linkage, lookalike, mixing, places, tokenize, topn, variants
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,6 +22,16 @@ def p1_splits(spark: SparkSession, sf: str) -> DataFrame:
     return grouped_split.grouped_splits(table(spark, sf, "match_labels"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    others = table(spark, sf, "source2").unionByName(table(spark, sf, "source3"))
+    return linkage.unlabelled_links(table(spark, sf, "source1"), others, table(spark, sf, "match_labels")).select("s1_id", "cand_id")
+
+
+def p2_links(spark: SparkSession, sf: str) -> DataFrame:
+    others = table(spark, sf, "source2").unionByName(table(spark, sf, "source3"))
+    return linkage.linked(table(spark, sf, "source1"), others).withColumn("confidence", F.round("confidence", 6))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return topn.top_items(table(spark, sf, "candidate_pairs"), 5).select("s1_id", "cand_id")
 
@@ -45,6 +56,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return variants.variant_pairs(table(spark, sf, "source1"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return places.same_place_pairs(table(spark, sf, "source1"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.same_looking_pairs(table(spark, sf, "source1"))
 
@@ -54,7 +69,7 @@ def p6_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_ranked, p4_found, p6_found, p6_forms, p7_ids, p8_mixture, p8_shares)
+    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_links, p3_found, p3_ranked, p4_found, p5_found, p6_found, p6_forms, p7_ids, p8_mixture, p8_shares)
 }
 
 ORACLES: dict[str, str] = {}
