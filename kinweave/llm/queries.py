@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grouped_split, linkage, lookalike, mixing, places, tokenize, topn, variants
+from . import grouped_split, linkage, lookalike, mixing, places, reading, tokenize, topn, variants
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -68,8 +68,17 @@ def p6_forms(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.one_form(table(spark, sf, "source1"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.levels(table(spark, sf, "documents"), table(spark, sf, "reading_samples")).select("doc_id", "band")
+
+
+def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
+    found = reading.levels(table(spark, sf, "documents"), table(spark, sf, "reading_samples"))
+    return found.groupBy("band").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_words").alias("words"), F.round(F.avg("grade"), 4).alias("mean_grade"), F.round(F.avg("rank_90"), 4).alias("mean_rank_90"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_links, p3_found, p3_ranked, p4_found, p5_found, p6_found, p6_forms, p7_ids, p8_mixture, p8_shares)
+    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_links, p3_found, p3_ranked, p4_found, p5_found, p6_found, p6_forms, p7_ids, p8_mixture, p8_shares, p9_found, p9_profile)
 }
 
 ORACLES: dict[str, str] = {}
