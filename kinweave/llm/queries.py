@@ -81,4 +81,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_links, p3_found, p3_ranked, p4_found, p5_found, p6_found, p6_forms, p7_ids, p8_mixture, p8_shares, p9_found, p9_profile)
 }
 
-ORACLES: dict[str, str] = {}
+_ID = "regexp_replace(upper({x}), '[^0-9A-Z]', '', 'g')"
+
+
+def _record(x: str) -> str:
+    t = _ID.format(x=x)
+    digits = f"regexp_extract({t}, '^S[123]0*([0-9]+)$', 1)"
+    return f"CASE WHEN {digits} = '' THEN NULL ELSE 'S' || substring({t}, 2, 1) || '-' || lpad({digits}, greatest(length({digits}), 9)::INT, '0') END"
+
+
+_OWNER = f"regexp_extract({_ID.format(x='entity_id')}, '^BE0*([0-9]+)$', 1)"
+_TOP = (
+    "WITH best AS (SELECT s1_id, cand_id, max(score) AS score FROM candidate_pairs WHERE s1_id IS NOT NULL AND cand_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL), "
+    "top AS (SELECT *, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS INT) AS rank FROM best) "
+)
+ORACLES: dict[str, str] = {
+    "p1_found": (
+        f"WITH RECURSIVE raw AS (SELECT DISTINCT {_record('source1_entity_id')} AS s1, CASE WHEN {_OWNER} IN ('', '0') THEN NULL ELSE 'BE-' || lpad({_OWNER}, greatest(length({_OWNER}), 8)::INT, '0') END AS owner, matched_entity_ids AS ids FROM match_labels), "
+        f"listed AS (SELECT s1, owner, {_record('x')} AS id FROM (SELECT s1, owner, unnest(regexp_split_to_array(coalesce(ids, ''), '[,;|]')) AS x FROM raw)), "
+        "half AS (SELECT s1 AS a, s1 AS b FROM raw WHERE s1 IS NOT NULL UNION SELECT s1, owner FROM raw WHERE s1 IS NOT NULL AND owner IS NOT NULL UNION SELECT s1, id FROM listed WHERE s1 IS NOT NULL AND id IS NOT NULL UNION SELECT owner, id FROM listed WHERE owner IS NOT NULL AND id IS NOT NULL), "
+        "edges AS (SELECT a, b FROM half UNION SELECT b, a FROM half), reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a), "
+        "parts AS (SELECT a AS node, min(b) AS part, min(b) FILTER (starts_with(b, 'BE-')) AS group_id, count(DISTINCT b) FILTER (starts_with(b, 'S1-')) AS n FROM reach GROUP BY 1) "
+        "SELECT node AS source1_entity_id, group_id FROM parts WHERE starts_with(node, 'S1-') AND n > 1 AND group_id IS NOT NULL"
+    ),
+    "p3_found": _TOP + "SELECT s1_id, cand_id FROM top WHERE rank <= 5",
+    "p3_ranked": _TOP + "SELECT * FROM top WHERE rank <= 5",
+}
