@@ -39,6 +39,12 @@ SHORT_FORMS = {
 #: Short forms of several words: each stands for any of them.
 EITHER = {"elect": ("electric", "electricals", "electricite"), "pharm": ("pharmacy", "pharmaceuticals", "pharmacie")}
 
+KINDS_OF_WORDS = ("trade", "further", "given")
+BY_LETTER: dict[str, list[tuple[str, str, set[str]]]] = {}
+for _kind, _words in zip(KINDS_OF_WORDS, (TRADES, FURTHER, GIVEN)):
+    for _w in _words:
+        if len(_w) >= 5:
+            BY_LETTER.setdefault(_w[0], []).append((_kind, _w, set(_w)))
 #: Kinds of business of two words.
 TOGETHER = {"dental": "care", "care": "dental", "works": "engineering", "engineering": "works"}
 
@@ -84,15 +90,22 @@ def word_kind(word: str) -> tuple[str, str]:
     for kind, words in (("trade", TRADES), ("further", FURTHER)):
         if word in words:
             return kind, word
+    near = BY_LETTER.get(word[:1], [])
     if len(word) >= 4:
-        for kind, words in (("trade", TRADES), ("further", FURTHER), ("given", GIVEN)):
-            hits = [w for w in words if len(w) >= 5 and w[0] == word[0] and (edits(word, w, 1) <= 1 or kind != "given" and len(word) >= 7 and edits(word, w, 2) <= 2)]
-            if hits:
-                return kind, GIVEN[hits[0]] if kind == "given" else min(hits, key=lambda w: (edits(word, w, 2), w))
+        letters, best = set(word), None
+        for order, (kind, w, own) in enumerate(near):
+            most = 2 if kind != "given" and len(word) >= 7 else 1
+            # a typo changes at most two of the letters in use
+            if abs(len(w) - len(word)) <= most and len(letters ^ own) <= 2 * most and (n := edits(word, w, most)) <= most:
+                rank = (KINDS_OF_WORDS.index(kind), n, order)
+                if best is None or rank < best[0]:
+                    best = rank, kind, w
+        if best:
+            return best[1], GIVEN[best[2]] if best[1] == "given" else best[2]
     if word in SHORT_FORMS:
         return "short", SHORT_FORMS[word]
     if len(word) >= 3:
-        hits = [w for w in (*TRADES, *FURTHER) if len(w) >= 5 and w[0] == word[0] and len(word) < len(w) and (w.startswith(word) or _abbreviates(word, w))]
+        hits = [w for kind, w, _ in near if kind != "given" and len(word) < len(w) and (w.startswith(word) or _abbreviates(word, w))]
         if hits:
             return "short", min(hits, key=lambda w: (not w.startswith(word), abs(len(w) - len(word)), w))
     return "core", word
