@@ -36,20 +36,28 @@ def parsed_names(names: DataFrame) -> DataFrame:
     return names.select(F.col("raw")).where("raw is not null").distinct().mapInPandas(_parse, PARSED)
 
 
+#: Kinds of business that a short form may stand for, as one. Fixed values.
+FAMILIES = {"electric": "elect", "electricals": "elect", "electricite": "elect", "pharmacy": "pharm", "pharmaceuticals": "pharm", "pharmacie": "pharm"}
+
+
 def accepted_pairs(keys: DataFrame) -> DataFrame:
     """``key_1, key_2`` of distinct parsed names that share a block and mean the same.
 
-    Equal names have been joined into one key before, so copies make no pairs. A block with very many
-    different keys is cut by the kind of business, which has to agree.
+    Equal names have been joined into one key before, so copies make no pairs. Kinds of business that agree share a word or
+    a family, so a block holds names of one kind; names without a kind meet all names of their block in a join of
+    their own. Names in two words meet only names in one piece under the codes of their ends.
     """
     spread = keys.select("key", "trade", F.explode("blocks").alias("b")).select("key", "trade", "b.block", "b.whole")
-    left = spread.select(F.col("key").alias("key_1"), F.col("trade").alias("t1"), "block", F.col("whole").alias("w1"))
-    right = spread.select(F.col("key").alias("key_2"), F.col("trade").alias("t2"), "block", F.col("whole").alias("w2"))
-    short = "(t1 in ('elect', 'pharm') or t2 in ('elect', 'pharm'))"
-    agree = f"t1 = t2 or t1 = '' or t2 = '' or {short} or t1 like '% %' or t2 like '% %'"
-    # names in two words meet only names in one piece under the codes of their ends
-    found = left.join(right, "block").where(f"key_1 < key_2 and (substring(block, 1, 1) = 'w' or w1 or w2 or substring(block, 1, 1) = 'o') and ({agree})")
-    return found.select("key_1", "key_2").distinct().mapInPandas(_verify, "key_1 string, key_2 string")
+    family = F.create_map(*(F.lit(x) for kv in FAMILIES.items() for x in kv))
+    kinds = F.array_distinct(F.transform(F.split("trade", " "), lambda t: F.coalesce(F.try_element_at(family, t), t)))
+    firm = spread.where("trade <> ''").select("key", "block", "whole", F.explode(kinds).alias("kind"))
+    left, right = (firm.select(F.col("key").alias(f"key_{i}"), "block", "kind", F.col("whole").alias(f"w{i}")) for i in (1, 2))
+    met = "(substring(block, 1, 1) in ('w', 'o') or w1 or w2)"
+    one = left.join(right, ["block", "kind"]).where(f"key_1 < key_2 and {met}").select("key_1", "key_2")
+    bare = spread.where("trade = ''").select(F.col("key").alias("a"), "block", F.col("whole").alias("w1"))
+    every = spread.select(F.col("key").alias("b"), "block", F.col("whole").alias("w2"))
+    two = bare.join(every, "block").where(f"a <> b and {met}").select(F.least("a", "b").alias("key_1"), F.greatest("a", "b").alias("key_2"))
+    return one.union(two).distinct().mapInPandas(_verify, "key_1 string, key_2 string")
 
 
 def name_clusters(records: DataFrame) -> DataFrame:
