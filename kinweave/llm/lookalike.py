@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .pairs import pairs_within
 
 # Letters of other scripts, and special Latin ones, that are drawn like a plain Latin letter or sign.
@@ -213,5 +214,5 @@ def same_looking_pairs(records: DataFrame) -> DataFrame:
 
     Null, blank and placeholder texts are in no pair. Repeated records count once; extra columns are ignored.
     """
-    forms = one_form(records).where(~F.lower("form").isin(list(PLACEHOLDERS)))
+    forms = cut(one_form(records).where(~F.lower("form").isin(list(PLACEHOLDERS))))
     return pairs_within(forms, ["field_name", "form"]).select("entity_id_1", "entity_id_2", "field_name")
