@@ -43,11 +43,16 @@ def unit_vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(norms, ["country", "entity_id"]).select("country", "entity_id", "gram", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def _numbered(vectors: DataFrame, id_name: str, number: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors with numbers for ids, and the table of both; numbers are written down once, so they stay the same."""
+    ids = cut(vectors.select(F.col("entity_id").alias(id_name)).distinct().withColumn(number, F.monotonically_increasing_id()))
+    return vectors.withColumnRenamed("entity_id", id_name).join(ids, id_name).drop(id_name), ids
+
+
 class TrigramBlocker:
     """Fitted on targets, queried with records; scores are cosines, ranked on six decimals and then by id.
 
-    The join runs over numbers instead of texts: grams get ids by hash, and records 64-bit ids that are turned back
-    after the best are known. Only grams rarer than ``max_df`` are joined, so a posting list holds at most
+    Records have 64-bit numbers in the join, which are turned back into ids after the best are known. Only grams rarer than ``max_df`` are joined, so a posting list holds at most
     that share of the targets; longer lists are cut into parts by a salt.
     """
 
@@ -65,10 +70,16 @@ class TrigramBlocker:
     def query(self, records: DataFrame, k: int = 20) -> DataFrame:
         """``s1_id, cand_id, score, rank`` with rank from 0; records of a country without targets have none."""
         q = unit_vectors(gram_counts(records, self.text, self.n), self.idf)
-        left = q.select("country", "gram", F.col("entity_id").alias("s1_id"), F.col("w").alias("wq"))
-        right = self.vectors.select("country", "gram", F.col("entity_id").alias("cand_id"), F.col("w").alias("wt"))
+        q, queries = _numbered(q, "s1_id", "s")
+        t, known = _numbered(self.vectors, "cand_id", "t")
+        left = q.select("country", "gram", "s", F.col("w").alias("wq"))
+        right = t.select("country", "gram", "t", F.col("w").alias("wt"))
         left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))))
-        right = right.withColumn("part", F.pmod(F.xxhash64("cand_id"), F.lit(self.parts)).cast("int"))
-        score = left.join(right, ["country", "gram", "part"]).groupBy("s1_id", "cand_id").agg(F.sum(F.col("wq") * F.col("wt")).alias("score"))
+        right = right.withColumn("part", F.pmod(F.xxhash64("t"), F.lit(self.parts)).cast("int"))
+        score = left.join(right, ["country", "gram", "part"]).groupBy("s", "t").agg(F.sum(F.col("wq") * F.col("wt")).alias("score"))
+        # all targets that tie with the k-th stay until their ids are known
+        best = Window.partitionBy("s").orderBy(F.round("score", 6).desc())
+        score = score.where("score > 0").withColumn("_r", F.rank().over(best)).where(F.col("_r") <= k).drop("_r")
+        score = score.join(queries, "s").join(known, "t").select("s1_id", "cand_id", "score")
         order = Window.partitionBy("s1_id").orderBy(F.round("score", 6).desc(), "cand_id")
-        return score.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1).cast("int"))
+        return score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1).cast("int"))
