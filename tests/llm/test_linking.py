@@ -190,3 +190,15 @@ def test_links(spark):
     left = {r["s1_id"] for r in linkage.unlabelled_links(records(spark, s1), records(spark, s2), labels).collect()}
     assert left == {a for a, _ in want} - {"S1-000000005"}
     assert linkage.linked(records(spark, []), records(spark, s2)).count() == 0
+
+
+def test_names_meet_without_a_place_in_spite_of_slips(spark):
+    pairs = [
+        ("Hunhoumr Sirlipit Developers", "Hunhomur Sirkipit Developers"), ("Keneuvon Gosmapik Electric", "Kenruvon Gosmapik"), ("Pamjodis Nolvilak Electric", "Pamjpdisnolvilak Electric"),
+        ("Dorbedulbirkuris Dental Care", "Dprb Edul Birkuris Dental Care"), ("Hom Hesemos Dental Care", "Homkivun Heseos Dental Care"), ("Gurgakalmardotat Textiles", "Gur Mardotat Textiles"), ("Tangidun Bilnunut Developers", "Bilnunutangidun Developers"),
+    ]
+    a = records(spark, [(f"S1-{i:09}", n, f"{i + 7} Nertubat Street, Salwol", "US") for i, (n, _) in enumerate(pairs)])
+    b = records(spark, [(f"S2-{i:09}", n, None, "US") for i, (_, n) in enumerate(pairs)])
+    left, right = (linkage.profiles(linkage.parsed_records(x)) for x in (a, b))
+    got = {(r["s1_id"], r["cand_id"]) for r in linkage.voted(left, right).where("consistent").collect()}
+    assert got == {(f"S1-{i:09}", f"S2-{i:09}") for i in range(len(pairs))}
