@@ -12,7 +12,7 @@ from ..plans.lineage import cut
 from .addresses import parse_address, place_key, place_of, same_place
 from .pairs import pairs_within
 
-COSINE = 0.25  #: least cosine of the weighted n-grams of two street names; two typos in eight letters stay above it
+COSINE = 0.25  #: least cosine of the weighted n-grams of two street names; the grams of a typo are rare and weigh most, so slips have keys of their own
 PARSED = "raw string, key string, number string, grams array<string>"
 
 
@@ -71,11 +71,31 @@ def prefix_candidates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     return pairs.join(x, "id_1").join(y, "id_2").where(dot >= cosine - 1e-9).select("id_1", "id_2")
 
 
+def street_slips(street: str) -> set[str]:
+    """What is left of a street name without up to as many letters as ``spelt_alike`` allows edits; names it takes as alike share one."""
+    left = now = {street}
+    for _ in range(1 if len(street) < 6 else 2 if len(street) < 12 else 3):
+        now = {w[:i] + w[i + 1 :] for w in now for i in range(len(w))}
+        left = left | now
+    return left
+
+
+def _slips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"id": b["id"], "number": b["number"], "k": [list(street_slips(s)) for s in b["street"]]}).explode("k")
+
+
+def slip_candidates(streets: DataFrame) -> DataFrame:
+    """``id_1, id_2`` of rows of ``id, number, street`` with the same number whose streets share one of their slips."""
+    index = streets.select("id", "number", "street").mapInPandas(_slips, "id string, number string, k string").select("id", F.xxhash64("number", "k").alias("k"))
+    return index.withColumnRenamed("id", "id_1").join(index.withColumnRenamed("id", "id_2"), "k").where("id_1 < id_2").select("id_1", "id_2").distinct()
+
+
 def matching_keys(parsed: DataFrame) -> DataFrame:
     """``key_1, key_2`` of different parsed addresses of one place."""
     streets = parsed.select("number", "grams", "key", F.split("key", "/")[2].alias("street")).withColumn("id", F.concat_ws("/", "number", "street"))
-    distinct = streets.groupBy("id", "number").agg(F.first("grams").alias("grams"))
-    near = prefix_candidates(distinct)
+    distinct = streets.groupBy("id", "number", "street").agg(F.first("grams").alias("grams"))
+    near = prefix_candidates(distinct.drop("street")).union(slip_candidates(distinct)).distinct()
     near = near.union(distinct.select(F.col("id").alias("id_1"), F.col("id").alias("id_2")))
     keys = streets.select("id", "key").distinct()
     pairs = near.join(keys.select(F.col("id").alias("id_1"), F.col("key").alias("a")), "id_1").join(keys.select(F.col("id").alias("id_2"), F.col("key").alias("b")), "id_2")

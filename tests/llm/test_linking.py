@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.llm import grouped_split, linkage, places, topn, variants
-from kinweave.llm.addresses import parse_address, same_place
+from kinweave.llm.addresses import parse_address, same_place, spelt_alike
 from kinweave.llm.components import connected_components
 from kinweave.llm.names import parse_name, same_name
 from kinweave.llm.pairs import pairs_within
@@ -202,3 +202,23 @@ def test_names_meet_without_a_place_in_spite_of_slips(spark):
     left, right = (linkage.profiles(linkage.parsed_records(x)) for x in (a, b))
     got = {(r["s1_id"], r["cand_id"]) for r in linkage.voted(left, right).where("consistent").collect()}
     assert got == {(f"S1-{i:09}", f"S2-{i:09}") for i in range(len(pairs))}
+
+
+def test_streets_with_slips_meet_in_spite_of_rare_grams(spark):
+    twice = [("6222 Lenbouvt Place, Salwol", "6222 Lnebovut Place, Salwol"), ("3514 Lonmeuvr Avenue, Salwol", "3514 Lomnevur Ave, Salwol"), ("7070 Jamridul Marg, Salwol", "7070 Jarmiudl Marg, Salwol")]
+    rows = [(f"S1-{i:02}", "n", a, "US") for i, a in enumerate(x for pair in twice for x in pair)]
+    rows += [(f"S1-{100 + i}", "n", f"{10 + i} {w} Street, Salwol", "US") for i, w in enumerate(("Lenbovut", "Lonmevur", "Jarmidul", "Gilmopok", "Nertubat", "Surletin") * 12)]
+    got = {tuple(r) for r in places.same_place_pairs(records(spark, rows)).collect()}
+    assert got == {("S1-00", "S1-01"), ("S1-02", "S1-03"), ("S1-04", "S1-05")}
+
+
+def test_slips_cover_streets_spelt_alike():
+    rng = random.Random(3)
+    for _ in range(4000):
+        a = "".join(rng.choice("abcdef") for _ in range(rng.randint(3, 14)))
+        b = list(a)
+        for _ in range(rng.randint(1, 3)):
+            i, how = rng.randrange(len(b)), rng.randrange(4)
+            b[i : i + 2 if how == 3 else i + 1] = [[], [rng.choice("abcdef")], [b[i], rng.choice("abcdef")], b[i : i + 2][::-1]][how] or ["a"]
+        b = "".join(b)
+        assert not spelt_alike(a, b) or places.street_slips(a) & places.street_slips(b), (a, b)
