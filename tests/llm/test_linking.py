@@ -222,3 +222,14 @@ def test_slips_cover_streets_spelt_alike():
             b[i : i + 2 if how == 3 else i + 1] = [[], [rng.choice("abcdef")], [b[i], rng.choice("abcdef")], b[i : i + 2][::-1]][how] or ["a"]
         b = "".join(b)
         assert not spelt_alike(a, b) or places.street_slips(a) & places.street_slips(b), (a, b)
+
+
+def test_links_of_records_without_a_name(spark):
+    at = lambda i: f"{11238 + i} Noldfox Street, Salwol, TX {10000 + i}"
+    s1 = [("S1-000000001", None, at(1), "US"), ("S1-000000002", "n/a", at(2), "US"), ("S1-000000003", "", at(3), "US"), ("S1-000000004", None, at(4), "US"), ("S1-000000005", "", at(4), "US"), ("S1-000000006", None, None, "US"), ("S1-000000007", "Mingujat Turgogun Traders", at(1), "US")]
+    s2 = [
+        ("S2-000000001", "Tulmifax Sermanil Foods", at(1).lower(), "US"), ("S2-000000002", "Tulmifaks Sermanil", at(1), "US"), ("S2-000000003", "mingujat turgogun trdrs", at(1), "US"), ("S2-000000004", "Tulmifax Sermanil Foods", at(2), "US"),
+        ("S2-000000005", "Tulmifax Sermanil", at(3), "US"), ("S2-000000006", "Vilsanot Turgogun", at(3), "US"), ("S2-000000007", "Tulmifax Sermanil", at(4), "US"), ("S2-000000008", "Tulmifax Sermanil", None, "US"),
+    ]
+    got = {(r["s1_id"], r["cand_id"]) for r in linkage.linked(records(spark, s1), records(spark, s2)).collect()}
+    assert got == {(f"S1-{a:09}", f"S2-{b:09}") for a, b in ((1, 1), (1, 2), (7, 3), (2, 4))}
