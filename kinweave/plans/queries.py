@@ -310,10 +310,10 @@ def tune_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gbt_match_proba(spark: SparkSession, sf: str) -> DataFrame:
-    """Probabilities of boosted trees, fitted with fewer rounds than the default to keep the check short."""
+    """Probabilities of boosted trees, fitted as the operator does by default."""
     labeled = cut(matching.labeled_pairs(_features(spark, sf, True), truth_of(spark, sf)))
     known = labeled.join(truth_of(spark, sf).select("s1_id"), "s1_id", "left_semi")
-    return matching.Matcher(rounds=10, depth=4, step=0.3).fit(known).predict(labeled).select("s1_id", "cand_id", r("match_proba", "match_proba"))
+    return matching.Matcher().fit(known).predict(labeled).select("s1_id", "cand_id", r("match_proba", "match_proba"))
 
 
 ENTITY = f"WITH {CAND}, {TRUTH}, {DECIDED.format(t=0.3, m=9)}, {_entity_sql('final')}"

@@ -75,3 +75,21 @@ def test_training_run_and_stream(spark, tmp_path):
     q = block_stream(stream, pipeline.BLOCKERS["trigrams"](max_df=1.0).fit(t), str(tmp_path / "out"), str(tmp_path / "ck"), 1)
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).where("rank = 0 and substring(s1_id, 4) = substring(cand_id, 4)").count() == 5
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no data")
+def test_registered_trees_are_those_of_the_operator(spark, monkeypatch):
+    from kinweave.operators import matching
+
+    made = []
+
+    class Seen(matching.Matcher):
+        def fit(self, labeled):
+            made.append(self.params)
+            self.params = {**self.params, "maxIter": 1, "maxDepth": 1}  # what counts is how it was set up
+            return super().fit(labeled)
+
+    monkeypatch.setattr(matching, "Matcher", Seen)
+    __spark_entry__.queries()["gbt_match_proba"](spark, str(DATA))
+    monkeypatch.undo()
+    assert made == [matching.Matcher().params]
