@@ -76,7 +76,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """The mixture ``doc_id, source, n_tokens, repeats``, 0 repeats for documents left out, and the report ``source, target_share, share, tokens, ...``.
+    """The mixture ``doc_id, source, n_tokens, repeats`` of the documents that are in it, and the report ``source, target_share, share, tokens, ...``.
 
     Sources are named without regard to case and outer blanks. Documents without a source, and sources without a target,
     stay out. A repeated row counts once. A source without any token can't be used; the others keep their proportions. ``total`` is the
@@ -112,8 +112,9 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, seed:
         ranked.join(F.broadcast(plan), "source")  # one row a source
         .join(take, ["source", "n_tokens"], "left")
         .select("doc_id", "source", "n_tokens", (F.col("passes") + F.when(F.col("rank") <= F.col("take"), 1).otherwise(0)).alias("repeats"))
+        .where("repeats > 0")
     )
-    got = mixed.where("repeats > 0").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats"))
+    got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats"))
     goal = spark.createDataFrame([(s, float(g[0]), int(repeats[s])) for s, g in goals.items()], "source string, target_share double, max_repeats int")
     every = got.agg(F.sum("tokens").alias("all_tokens"))
     report = (

@@ -139,3 +139,10 @@ def test_levels(spark):
 def test_word_ranks_follow_frequency(spark):
     counted = spark.createDataFrame([(1, ["a", "b"], [5, 2]), (2, ["a", "c", "d"], [1, 2, 1])], "id int, words array<string>, counts array<int>")
     assert {r["word"]: r["rank"] for r in reading.word_ranks(counted).collect()} == {"a": 1, "b": 3, "c": 3, "d": 4}
+
+
+def test_mixture_holds_only_its_documents(spark):
+    df = spark.createDataFrame([(i, "one two three", s) for i, s in enumerate(["a"] * 40 + ["b"] * 4)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    rows = mixing.mixture(df, targets)[0].collect()
+    assert sorted(r["source"] for r in rows) == ["a"] * 4 + ["b"] * 4 and all(r["repeats"] == 1 for r in rows)
