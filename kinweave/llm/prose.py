@@ -33,7 +33,11 @@ MARK = re.compile(r"^\s*(?:///?!?|//|/\*+!?|\*+/|\*(?!\*)|#+!?|--+|;+|%+|<!--|\"
 TAIL = re.compile(r"\s*(?:\*/|-->|\"\"\"|''')\s*$")
 ASIDE = re.compile(r"\((?:see|cf|e\.g|i\.e|no|v)\b[^)]{0,30}\)")
 INLINE = re.compile(r"`[^`]*`|\[[^\]]*\]\([^)]*\)|https?://\S+")
-CODE = re.compile(r"[{}=<>\\|$^~@]|\(\)|\w\(|\w_\w|\]\s*[,;]|::|->|;\s*$|^\s*(?:import|from|return|package|using|include|def|class|public|private|static|func|fn|let|var|const)\b")
+CODE = re.compile(r"[{}=<>\\|$^~@]|\(\)|\w\(|\w_\w|\]\s*[,;]|::|->|;\s*$")
+# Words that begin a statement, and may begin a line of wrapped prose; and what tells the statement.
+OPENS = re.compile(r"^\s*(?:import|from|return|package|using|include|def|class|public|private|static|func|fn|let|var|const)\b")
+STATEMENT = re.compile(r"[\[\]]|[A-Za-z_]{2,}\.[A-Za-z_]{2,}|;\s*$")
+SPOKEN = FUNCTION - set("a as from if or and not in for while with is on by at to no this but so when".split())  #: function words that are hardly ever words of code
 WORD = re.compile(r"[a-z]+(?:['’-][a-z]+)*")
 END = re.compile(r"[.!?;:](?=\s|$)")
 FENCE = re.compile(r"^\s*(?:```|~~~)")
@@ -50,11 +54,21 @@ QUICK = re.compile(r"[{}=<>\\|$^~@_]|\(\)|\w\(|::|->")
 LEAST_WORDS = 80  #: a document's level is that of at least so many words
 
 
+def _statement(line: str) -> bool:
+    """Whether a line that begins like a statement is one: it has a mark of code, or neither a function word nor a full stop."""
+    if not OPENS.match(line):
+        return False
+    words = line.lower().split()
+    return STATEMENT.search(line) is not None or not any(w.strip(".,;:!?()'\"") in SPOKEN for w in words[1:]) and not (line.endswith(".") and len(words) > 3)
+
+
 def _prose_line(line: str) -> bool:
     """Whether a line, without its comment marks, is part of running prose."""
     if CODE.search(line):
         if not line.endswith(";") or CODE.search(line[:-1]) or line.count(" ") < 3:
             return False
+    if _statement(line):
+        return False
     words = line.split()
     plain = 0
     for w in words:

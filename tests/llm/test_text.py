@@ -146,3 +146,12 @@ def test_mixture_holds_only_its_documents(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
     rows = mixing.mixture(df, targets)[0].collect()
     assert sorted(r["source"] for r in rows) == ["a"] * 4 + ["b"] * 4 and all(r["repeats"] == 1 for r in rows)
+
+
+def test_prose_may_begin_a_line_like_a_statement():
+    from kinweave.llm.prose import paragraphs
+
+    wrapped = ["The old member keeps the", "package alongside the implementation, and a recent dog updates any box.", "public day connects any member while the writer removes one step."]
+    assert paragraphs("\n".join(wrapped)) == [" ".join(wrapped)]
+    for line in ("import numpy as np", "from os import path as p", "return a if b else c", "package org.acme.tools", "public static void main", "return the[0]", "let x be the.value", "using the thing;", "return not found"):
+        assert paragraphs(line) == [], line
