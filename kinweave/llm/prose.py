@@ -7,14 +7,6 @@ import unicodedata
 from collections import Counter
 from typing import NamedTuple
 
-# Words that join clauses or open sentences, from everyday to learned ones, by grade.
-GRADES = {
-    1: "and but so or then now first next here also",
-    2: "after because if while when usually most before until since example",
-    3: "although whereas unless provided which conversely consequently contrast particular however therefore moreover furthermore",
-    4: "notwithstanding inasmuch insofar whereupon lest extent fortiori mutandis paribus strictly whereby wherein hence albeit thereof",
-}
-GRADE = {w: g for g, words in GRADES.items() for w in words.split() if w != "that"} | {"so": 1, "so that": 3}
 # The most frequent words of English; prose has many of them whatever it is about.
 FUNCTION = set("the a an any each every this that these those one its it is are was be been has have had of to in on at by for with from as and or but so if when while not no can may will their his her our your there which who".split())
 # Wording of licences and of generated headers.
@@ -47,11 +39,15 @@ class Prose(NamedTuple):
     words: dict[str, int]
     n_words: int
     n_sentences: int
-    grades: tuple[int, int, int, int]  #: words that join clauses, by grade
+    n_commas: int
+    n_letters: int
 
 
 QUICK = re.compile(r"[{}=<>\\|$^~@_]|\(\)|\w\(|::|->")
 LEAST_WORDS = 80  #: a document's level is that of at least so many words
+RUNNING = 8  #: words that a paragraph has at least; fewer are a heading, a label or an item
+COMMON = 0.15  #: least share of function words in a paragraph of English
+WORD_LENGTH = 12  #: characters a blank, above which a line holds data or minified code
 
 
 def _statement(line: str) -> bool:
@@ -83,7 +79,7 @@ def paragraphs(text: str) -> list[str]:
     fenced = False
     quick, mark, prose_line = QUICK.search, MARK.sub, _prose_line
     for line in text.split("\n"):
-        if not line or "`" not in line and "http" not in line and quick(line) and "<!--" not in line or len(line) > 20_000 and line.count(" ") * 12 < len(line):
+        if not line or "`" not in line and "http" not in line and quick(line) and "<!--" not in line or len(line) > 200 and line.count(" ") * WORD_LENGTH < len(line):
             keep = False  # blank, code, or minified
         elif FENCE.match(line):
             fenced, keep = not fenced, False
@@ -110,14 +106,12 @@ def paragraphs(text: str) -> list[str]:
 
 
 def prose(text: str | None) -> Prose | None:
-    """Counts over the running English prose of a text; null where there is none, or hardly any."""
-    if not text or sum(map(FUNCTION.__contains__, text.lower().split())) < LEAST_WORDS // 10:
-        return None  # each paragraph of prose has more of these words in proportion
+    """Counts over the running English prose of a text; null where there is none."""
+    if not text:
+        return None
     words: Counter[str] = Counter()
-    n_sentences = 0
+    n_sentences = n_commas = 0
     for p in paragraphs(text):
-        if len(p) < 30:
-            continue
         low = p.lower()
         if _notice(low):
             kept = [x for x in re.split(r"(?<=[.!?])\s+", low) if not _notice(x)]
@@ -129,17 +123,10 @@ def prose(text: str | None) -> Prose | None:
                 continue
             low = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
         found = WORD.findall(low)
-        if len(found) < 8 or sum(map(FUNCTION.__contains__, found)) < 0.15 * len(found):
+        if len(found) < RUNNING or sum(map(FUNCTION.__contains__, found)) < COMMON * len(found):
             continue
         words.update(found)
-        if n := low.count("so that "):  # another word than plain "so"
-            words["so"] -= n
-            words["so that"] += n
         n_sentences += max(1, len(END.findall(low)))
+        n_commas += low.count(",")
     n = sum(words.values())
-    if not n:
-        return None
-    grades = [0, 0, 0, 0]
-    for w, g in GRADE.items():
-        grades[g - 1] += words.get(w, 0)
-    return Prose({w: k for w, k in words.items() if k > 0}, n, n_sentences, tuple(grades))
+    return Prose(dict(words), n, n_sentences, n_commas, sum(len(w) * k for w, k in words.items())) if n else None

@@ -74,7 +74,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
     found = reading.levels(table(spark, sf, "documents"), table(spark, sf, "reading_samples"))
-    return found.groupBy("band").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_words").alias("words"), F.round(F.avg("grade"), 4).alias("mean_grade"), F.round(F.avg("rank_90"), 4).alias("mean_rank_90"))
+    return found.groupBy("band").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_words").alias("words"), F.round(F.avg("rank_50"), 4).alias("mean_rank_50"), F.round(F.avg("length"), 4).alias("mean_length"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -99,10 +99,27 @@ def test_knapsack_against_brute_force():
         got = mixing.bounded_knapsack(counts, budget)
         limit = dict(counts)
         assert all(0 <= n <= limit[s] for s, n in got.items()) and sum(s * n for s, n in got.items()) == brute_sums([c for c in counts if c[0]], budget)
-        passes, extra = mixing.plan_source(dict(counts), budget, 3, window=8)
-        size = sum(s * n for s, n in counts)
-        used = passes * size + sum(s * n for s, n in extra.items())
-        assert used <= budget and passes <= 3 and all(n <= limit[s] for s, n in extra.items()) and (passes < 3 or not extra)
+        repeats = rng.randint(1, 3)
+        room = [(s, n * repeats) for s, n in counts if s]
+        taken = mixing.plan_source(dict(counts), budget, repeats, window=8)
+        used = sum(s * n for s, n in taken.items())
+        assert all(n <= dict(room)[s] for s, n in taken.items()) and used == brute_sums(room, budget)
+
+
+def test_budgets_are_met_by_documents_longer_than_any_window():
+    assert sum(k * n for k, n in mixing.plan_source({100_000: 10, 60_000: 10}, 300_000, 3).items()) == 300_000
+    rng = random.Random(5)
+    for _ in range(40):
+        counts = {rng.choice((1, 7, 100, 1000)) * rng.randint(1, 120): rng.randint(1, 6) for _ in range(rng.randint(2, 5))}
+        repeats = rng.randint(1, 2)
+        room = [(s, n * repeats) for s, n in counts.items()]
+        budget = rng.randint(1, sum(s * n for s, n in room) + 10)
+        for window in (16, mixing.WINDOW):
+            assert sum(s * n for s, n in mixing.plan_source(counts, budget, repeats, window).items()) == brute_sums(room, budget), (counts, budget, repeats)
+    many = {100: 10**9, 37: 3}
+    for budget in (10**10 + 1, 10**10 + 36, 10**10 + 37, 10**10 + 76):
+        used = sum(s * n for s, n in mixing.plan_source(many, budget, 1).items())
+        assert used == max(x for x in (a * 37 + (budget - a * 37) // 100 * 100 for a in range(4)) if x <= budget)
 
 
 def test_mixture(spark):
@@ -122,9 +139,10 @@ def test_mixture(spark):
 def test_prose():
     text = "# Copyright (c) 2020 the x contributors. All rights reserved.\n# This file is made available under the Y Licence; no person may convey it.\n" + "# The map of the town shows every road, and the river runs to the sea. It is old.\n" * 9 + "import os\ndef f(x):\n    return x\n"
     p = prose(text)
-    assert p.n_sentences == 18 and "copyright" not in p.words and "import" not in p.words and p.words["map"] == 9 and p.grades[0] == 9
+    assert p.n_sentences == 18 and "copyright" not in p.words and "import" not in p.words and p.words["map"] == 9 and p.n_commas == 9 and p.n_letters == sum(len(w) * k for w, k in p.words.items())
     assert prose(None) is None and prose("  ") is None and prose("x = 1\n" * 500) is None and prose("El mapa de la ciudad muestra cada calle. " * 40) is None
-    assert prose("/* The map of the town shows every road, so that the river runs to the sea. */ " * 9).grades[2] == 9
+    assert prose("The map shows the old road. " * 100).n_words == 600 and prose("the road " * 3) is None
+    assert prose("x" * 50_000 + "\n" + "The map shows the old road. " * 100).n_words == 600
 
 
 def test_levels(spark):
