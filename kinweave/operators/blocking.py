@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, shuffle_partitions
 
 
 def search_text(name: str = "name_norm", address: str = "address_norm") -> Column:
@@ -24,8 +26,9 @@ def word_grams(text: Column, n: int = 3) -> Column:
 
 
 def gram_counts(records: DataFrame, text: Column, n: int = 3) -> DataFrame:
-    """``country, entity_id, gram, tf``; nothing is left of an empty text."""
-    rows = records.select("country", "entity_id", F.explode(word_grams(text, n)).alias("gram"))
+    """``country, entity_id, gram, tf``; nothing is left of an empty text. The texts are shuffled by record, not their grams."""
+    texts = records.select("country", "entity_id", text.alias("text")).repartition(shuffle_partitions(records.sparkSession), "country", "entity_id")
+    rows = texts.select("country", "entity_id", F.explode(word_grams(F.col("text"), n)).alias("gram"))
     return rows.groupBy("country", "entity_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -43,43 +46,98 @@ def unit_vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(norms, ["country", "entity_id"]).select("country", "entity_id", "gram", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def _numbered(vectors: DataFrame, id_name: str, number: str) -> tuple[DataFrame, DataFrame]:
-    """The vectors with numbers for ids, and the table of both; numbers are written down once, so they stay the same."""
-    ids = cut(vectors.select(F.col("entity_id").alias(id_name)).distinct().withColumn(number, F.monotonically_increasing_id()))
-    return vectors.withColumnRenamed("entity_id", id_name).join(ids, id_name).drop(id_name), ids
+def packed_vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """``country, entity_id, grams, weights``: the unit vectors with a record's grams, by number, in one row."""
+    raw = counts.join(idf, "gram").select("country", "entity_id", F.struct("number", ((1 + F.log("tf")) * F.col("idf")).alias("w")).alias("x"))
+    rows = raw.groupBy("country", "entity_id").agg(F.collect_list("x").alias("x"), F.sqrt(F.sum(F.col("x.w") * F.col("x.w"))).alias("norm"))
+    return rows.select("country", "entity_id", F.col("x.number").alias("grams"), F.transform(F.col("x.w"), lambda w: w / F.col("norm")).alias("weights"))
+
+
+def _flat(side: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, and for every gram of every row its number, its weight and the row."""
+    ids, grams, weights = (side.column(c).combine_chunks() for c in ("entity_id", "grams", "weights"))
+    lengths = np.diff(np.asarray(grams.offsets))
+    return ids, np.asarray(grams.flatten()), np.asarray(weights.flatten()), np.repeat(np.arange(len(ids)), lengths)
+
+
+SLACK = 2e-6  #: scores are compared on six decimals later, so what ties with the k-th stays
+CHUNK = 1 << 21  #: products, or scores, that are held at once
+
+
+def best_of_cell(queries: pa.Table, targets: pa.Table, k: int) -> pa.Table:
+    """``s1_id, cand_id, score``: for each query the ``k`` nearest targets of the cell, with all that tie with the last.
+
+    The targets are turned into posting lists. The products of a run of queries are added up in one array of queries by targets.
+    """
+    t_ids, t_grams, t_weights, t_rows = _flat(targets)
+    q_ids, q_grams, q_weights, q_rows = _flat(queries)
+    order = np.argsort(t_grams, kind="stable")
+    known, starts = np.unique(t_grams[order], return_index=True)
+    ends = np.append(starts[1:], len(order))
+    t_rows, t_weights = t_rows[order], t_weights[order]
+    at = np.minimum(np.searchsorted(known, q_grams), max(len(known) - 1, 0))
+    hit = known[at] == q_grams if len(known) else np.zeros(len(q_grams), bool)
+    at, q_weights, q_rows = at[hit], q_weights[hit], q_rows[hit]
+    first, number = starts[at], ends[at] - starts[at]
+    per_query = np.bincount(q_rows, weights=number, minlength=len(q_ids))
+    edges, n = np.searchsorted(q_rows, np.arange(len(q_ids) + 1)), len(t_ids)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    begin = 0
+    while begin < len(q_ids):
+        end, products = begin, 0.0
+        while end < len(q_ids) and (end == begin or (products + per_query[end] <= CHUNK and (end + 1 - begin) * n <= CHUNK)):
+            products += per_query[end]
+            end += 1
+        part = slice(edges[begin], edges[end])
+        many = number[part]
+        total = int(many.sum())
+        if total:
+            where = np.arange(total) + np.repeat(first[part] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+            cell = np.repeat((q_rows[part] - begin) * n, many) + t_rows[where]
+            scores = np.bincount(cell, weights=np.repeat(q_weights[part], many) * t_weights[where], minlength=(end - begin) * n).reshape(end - begin, n)
+            least = np.partition(scores, n - k, axis=1)[:, n - k] - SLACK if n > k else np.zeros(end - begin)
+            row, col = np.nonzero((scores > 0) & (scores >= least[:, None]))
+            out.append((row + begin, col, scores[row, col]))
+        begin = end
+    rows, cols, scores = (np.concatenate([o[i] for o in out]) if out else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, np.float64)))
+    return pa.table({"s1_id": q_ids.take(pa.array(rows)), "cand_id": t_ids.take(pa.array(cols)), "score": pa.array(scores)})
 
 
 class TrigramBlocker:
     """Fitted on targets, queried with records; scores are cosines, ranked on six decimals and then by id.
 
-    Records have 64-bit numbers in the join, which are turned back into ids after the best are known. Only grams rarer than ``max_df`` are joined, so a posting list holds at most
-    that share of the targets; longer lists are cut into parts by a salt.
+    Records and targets of a country are dealt into blocks by a hash of their ids; each pair of blocks is a cell of bounded size that one
+    task scores by itself, so a country, or a gram, that holds most of the rows only makes more cells. A cell keeps
+    the ``k`` best of each record, and a window ranks what the cells of a record have kept. No pair of records is shuffled before that.
     """
 
-    def __init__(self, max_df: float = 0.05, n: int = 3, text: Column | None = None, parts: int = 8):
-        self.max_df, self.n, self.parts = max_df, n, parts
+    def __init__(self, max_df: float = 0.05, n: int = 3, text: Column | None = None, target_block: int = 25_000, query_block: int = 4_000):
+        self.max_df, self.n, self.target_block, self.query_block = max_df, n, target_block, query_block
         self.text = search_text() if text is None else text
 
     def fit(self, targets: DataFrame) -> TrigramBlocker:
-        counts = cut(gram_counts(targets, self.text, self.n))
-        n_docs = targets.count()
-        self.idf = cut(inverse_frequencies(counts, n_docs, self.max_df))
-        self.vectors = cut(unit_vectors(counts, self.idf))
+        self.counts = cut(gram_counts(targets, self.text, self.n))
+        self.idf = cut(inverse_frequencies(self.counts, targets.count(), self.max_df).withColumn("number", F.monotonically_increasing_id()))
+        self.targets = cut(packed_vectors(self.counts, self.idf))
         return self
 
+    @property
+    def vectors(self) -> DataFrame:
+        return unit_vectors(self.counts, self.idf.drop("number"))
+
     def query(self, records: DataFrame, k: int = 20) -> DataFrame:
         """``s1_id, cand_id, score, rank`` with rank from 0; records of a country without targets have none."""
-        q = unit_vectors(gram_counts(records, self.text, self.n), self.idf)
-        q, queries = _numbered(q, "s1_id", "s")
-        t, known = _numbered(self.vectors, "cand_id", "t")
-        left = q.select("country", "gram", "s", F.col("w").alias("wq"))
-        right = t.select("country", "gram", "t", F.col("w").alias("wt"))
-        left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))))
-        right = right.withColumn("part", F.pmod(F.xxhash64("t"), F.lit(self.parts)).cast("int"))
-        score = left.join(right, ["country", "gram", "part"]).groupBy("s", "t").agg(F.sum(F.col("wq") * F.col("wt")).alias("score"))
-        # all targets that tie with the k-th stay until their ids are known
-        best = Window.partitionBy("s").orderBy(F.round("score", 6).desc())
-        score = score.where("score > 0").withColumn("_r", F.rank().over(best)).where(F.col("_r") <= k).drop("_r")
-        score = score.join(queries, "s").join(known, "t").select("s1_id", "cand_id", "score")
+        queries = cut(packed_vectors(gram_counts(records, self.text, self.n), self.idf))
+        cores = records.sparkSession.sparkContext.defaultParallelism
+        query_block = min(self.query_block, max(100, queries.count() // (2 * cores)))  # enough cells for all cores; the result is the same
+        sides = ((queries, "q", query_block), (self.targets, "t", self.target_block))
+        numbers = [s.groupBy("country").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(f"{x}_blocks")) for s, x, size in sides]
+        blocks = numbers[0].join(numbers[1], "country")  # one row a country
+        block = lambda x: F.pmod(F.xxhash64("entity_id"), F.col(f"{x}_blocks")).cast("int").alias(f"{x}_block")
+        every = lambda x: F.explode(F.sequence(F.lit(0), F.col(f"{x}_blocks") - 1)).alias(f"{x}_block")
+        columns = ("country", "entity_id", "grams", "weights")
+        left = queries.join(blocks, "country").select(*columns, block("q"), every("t")).groupBy("country", "q_block", "t_block")
+        right = self.targets.join(blocks, "country").select(*columns, every("q"), block("t")).groupBy("country", "q_block", "t_block")
+        score = left.cogroup(right).applyInArrow(lambda q, t: best_of_cell(q, t, k), "s1_id string, cand_id string, score double")
         order = Window.partitionBy("s1_id").orderBy(F.round("score", 6).desc(), "cand_id")
         return score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1).cast("int"))
