@@ -18,10 +18,10 @@ from .pairs import pairs_within
 
 # Letters of other scripts, and special Latin ones, that are drawn like a plain Latin letter or sign.
 LOOK_ALIKES = {
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜϺ", "N": "Ν", "O": "ОΟՕ",
-    "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
-    "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "і", "j": "јϳ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ",
-    "s": "ѕ", "u": "սυ", "v": "νѵ", "w": "ԝ", "x": "х", "y": "уү", "-": "‐‑",
+    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐⲂ", "C": "СϹᏟꓚⲤ", "D": "Ꭰꓓ", "E": "ЕΕᎬꓰ", "F": "ꓝ", "G": "ԌᏀꓖ", "H": "НΗᎻꓧⲎ", "I": "ІΙӀꓲⲒ", "J": "ЈͿᎫꓙ", "K": "КΚᏦꓗⲔ", "L": "Ꮮꓡ", "M": "МΜϺᎷꓟⲘ", "N": "ΝꓠⲚ",
+    "O": "ОΟՕꓳⲞ", "P": "РΡᏢꓑⲢ", "Q": "Ԛ", "R": "ᎡᏒꓣ", "S": "ЅՏᏕᏚꓢ", "T": "ТΤᎢꓔⲦ", "U": "ꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳᏔꓪ", "X": "ХΧꓫⲬ", "Y": "ҮΥᎩᎽꓬⲨ", "Z": "ΖᏃꓜ",
+    "a": "аɑα", "b": "Ꮟ", "c": "сϲⲥ", "d": "ԁᏧ", "e": "е", "g": "ɡ", "h": "һհᏂ", "i": "іᎥ", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօσⲟ", "p": "рρⲣ", "q": "ԛ",
+    "s": "ѕ", "u": "սυ", "v": "νѵ", "w": "ԝ", "x": "хⲭ", "y": "уүγ", "-": "‐‑−˗⁃",
 }
 
 #: What a text may hold instead of nothing. Fixed values.
@@ -30,10 +30,6 @@ PLACEHOLDERS = {"", "-", "--", ".", "?", "n/a", "na", "n.a.", "null", "<null>",
 BLANKS = "".join(chr(c) for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x2800, 0x3164))
 
 
-#: What ligatures stand for. Fixed values.
-SEQUENCES = ("ff", "fi", "fl", "ffi", "ffl", "st")
-
-
 def unseen(ch: str) -> bool:
     """Characters that leave no mark: format characters, variation selectors, controls."""
     c = ord(ch)
@@ -41,48 +37,38 @@ def unseen(ch: str) -> bool:
 
 
 def _same_shape(ch: str) -> str | None:
-    """What a character is a mere width, no-break, ligature or canonical variant of."""
-    d = unicodedata.decomposition(ch)
-    if not d:
-        return None
-    kind = d.split()[0]
-    c = ord(ch)
-    if kind[0] != "<" or kind in ("<wide>", "<narrow>", "<noBreak>") or kind == "<compat>" and (0xFB00 <= c <= 0xFB06 or 0x2160 <= c <= 0x217F):
-        return unicodedata.normalize("NFKC", ch)
+    """What a character is a mere width, font, no-break or ligature variant of, its marks apart from their letters."""
+    kind, c = unicodedata.decomposition(ch).partition(" ")[0], ord(ch)
+    if kind in ("<wide>", "<narrow>", "<font>", "<noBreak>") or kind == "<compat>" and (0xFB00 <= c <= 0xFB06 or 0x2160 <= c <= 0x217F):
+        return unicodedata.normalize("NFKD", ch)
     return None
 
 
 class LookAlikes:
     """Classes of strings and code points that look the same, joined by union-find.
 
-    Ties are transitive: a full-width letter is tied to its plain form, that one to the letters of other scripts, and a
-    precomposed letter to every base of its class followed by its marks. ``counts`` tells how often each string occurs;
-    the most frequent member stands for its class; among equals a plain one, then the one of fewest and lowest code points.
+    Ties are transitive: a full-width letter is tied to its plain form, that one to the letters of other scripts. Texts are compared
+    with marks apart from their letters and in canonical order, so a class of letters holds with any marks. ``counts`` tells how often each string occurs;
+    the most frequent member stands for its class, among equals a plain one, then the lowest; where several letters are drawn as one character, the
+    letters stand for it, so that each is then in its own class.
     """
 
+    #: Blocks with variants of width and font, ligatures and numerals, beside the characters of the corpus.
+    BLOCKS = ((0x21, 0x250), (0x2100, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFFEF), (0x1D400, 0x1D800))
+
     def __init__(self, counts: dict[str, int] | None = None, characters: Iterable[str] = ()):
         self.parent: dict[str, str] = {}
         for plain, others in LOOK_ALIKES.items():
             for o in others:
                 self.union(plain, o)
-        known = {*map(chr, range(0x21, 0x250)), *map(chr, range(0x1E00, 0x1F00)), *map(chr, range(0xFB00, 0xFB07)), *map(chr, range(0xFF01, 0xFFEF)), *(c for s in characters for c in s), *LOOK_ALIKES, *"".join(LOOK_ALIKES.values())}
+        known = {*(chr(c) for first, end in self.BLOCKS for c in range(first, end)), *(c for s in characters for c in s)}
         for ch in sorted(known):
             if (s := _same_shape(ch)) and s != ch and not any(unseen(x) or x in BLANKS for x in (*s, ch)):
                 self.union(ch, s)
-        members: dict[str, list[str]] = {}
-        for x in list(self.parent):
-            members.setdefault(self.find(x), []).append(x)
-        for ch in sorted(known):
-            parts = unicodedata.normalize("NFD", ch)
-            if len(parts) > 1 and unicodedata.combining(parts[1]):
-                bases = members.get(self.find(parts[0]), []) if parts[0] in self.parent else []
-                for b in {parts[0], *bases}:
-                    if len(b) == 1:
-                        self.union(ch, b + parts[1:])
         counts = counts or {}
         best: dict[str, tuple] = {}
         for x in self.parent:
-            root, rank = self.find(x), (-counts.get(x, 0), not x.isascii(), len(x), x)
+            root, rank = self.find(x), (-len(x), -counts.get(x, 0), not x.isascii(), x)
             if root not in best or rank < best[root]:
                 best[root] = rank
         self.rewrites = {x: best[self.find(x)][-1] for x in self.parent if best[self.find(x)][-1] != x}
@@ -103,8 +89,9 @@ class LookAlikes:
 class Rewriter:
     """Rewrites texts to one form: unseen characters go, blanks become single spaces, look-alikes their representative.
 
-    Patterns are found by one automaton, leftmost first and of these the longest. Equal forms are equal however they are reached, so
-    rewriting goes on until nothing changes, which normally is at once.
+    Marks are first parted from their letters and put in canonical order, and joined with them again at the end. Patterns are found by one automaton,
+    leftmost first and of these the longest. Equal forms are equal however they are reached, so rewriting goes on until
+    nothing changes, which normally is at once; should it ever go round, the smallest text of the round is the form.
     """
 
     def __init__(self, rewrites: dict[str, str]):
@@ -112,7 +99,8 @@ class Rewriter:
         for pattern, to in rewrites.items():
             self.automaton.add_word(pattern, (len(pattern), to))
         self.automaton.make_automaton()
-        self._plain = set("".join(map(chr, range(0x21, 0x7F)))) - set(rewrites)
+        parts = {c for pattern in rewrites if pattern.isascii() for c in pattern}
+        self._plain = set(map(chr, range(0x21, 0x7F))) - parts  # texts of these alone stay as they are
         self._table = _Table()
 
     def _once(self, text: str) -> str:
@@ -132,12 +120,10 @@ class Rewriter:
         text = " ".join(x for x in text.split(" ") if x)
         if text.isascii() and self._plain.issuperset(text.replace(" ", "")):
             return text
-        for _ in range(8):
-            new = self._once(text)
-            if new == text:
-                break
-            text = new
-        return text
+        seen = [unicodedata.normalize("NFD", text)]
+        while (new := unicodedata.normalize("NFD", self._once(seen[-1]))) not in seen:
+            seen.append(new)
+        return unicodedata.normalize("NFC", min(seen[seen.index(new) :]))
 
 
 class _Table(dict):
@@ -164,24 +150,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for t in b.column(0).to_pylist():
             if t:
-                n.update(t)
-                for q in SEQUENCES:
-                    if q in t:
-                        n[q] += t.count(q)
-                if not t.isascii():
-                    n.update(t[i - 1 : i + 1] for i in range(1, len(t)) if unicodedata.combining(t[i]))
+                n.update(unicodedata.normalize("NFD", t))
     yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], names=["s", "n"])
 
 
 def corpus_classes(texts: DataFrame, column: str) -> LookAlikes:
     """The classes with representatives by their frequency in the corpus.
 
-    Each task sends one row for each distinct character or marked letter; the driver gets their totals, which are bounded by
-    the number of code points, and of marks on letters, not by the corpus.
+    Each task sends one row for each distinct character; the driver gets their totals, which are bounded by
+    the number of code points, not by the corpus.
     """
     rows = texts.select(column).mapInArrow(_count, "s string, n bigint").groupBy("s").agg(F.sum("n").alias("n")).collect()
     counts = {r["s"]: r["n"] for r in rows}
-    return LookAlikes(counts, (s for s in counts if len(s) == 1))
+    return LookAlikes(counts, counts)
 
 
 def rewrite(df: DataFrame, column: str, to: str, classes: LookAlikes) -> DataFrame:

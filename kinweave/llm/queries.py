@@ -52,6 +52,11 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
 
 
+def p8_reached(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares reached to three decimals: those wanted, where each source has documents enough for the total."""
+    return p8_shares(spark, sf).select("source", F.round("share", 3).alias("share"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return variants.variant_pairs(table(spark, sf, "source1"))
 
@@ -78,7 +83,7 @@ def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_links, p3_found, p3_ranked, p4_found, p5_found, p6_found, p6_forms, p7_ids, p8_mixture, p8_shares, p9_found, p9_profile)
+    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_links, p3_found, p3_ranked, p4_found, p5_found, p6_found, p6_forms, p7_ids, p8_mixture, p8_shares, p8_reached, p9_found, p9_profile)
 }
 
 _ID = "regexp_replace(upper({x}), '[^0-9A-Z]', '', 'g')"
@@ -95,7 +100,33 @@ _TOP = (
     "WITH best AS (SELECT s1_id, cand_id, max(score) AS score FROM candidate_pairs WHERE s1_id IS NOT NULL AND cand_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL), "
     "top AS (SELECT *, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS INT) AS rank FROM best) "
 )
+
+
+def _translated(x: str) -> str:
+    """SQL for a text with every look-alike as the plain character, marks joined to their letters."""
+    pairs = [(o, plain) for plain, others in lookalike.LOOK_ALIKES.items() for o in others] + [(chr(c + 0xFEE0), chr(c)) for c in range(0x21, 0x7F)]
+    pairs += [("ё", "ë"), ("Ё", "Ë"), ("ї", "ï"), ("Ї", "Ï")]
+    gone = f"regexp_replace({x}, '[\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}\\x{{AD}}\\x{{34F}}\\x{{FE00}}-\\x{{FE0F}}\\x{{180E}}]', '', 'g')"
+    blanks = f"trim(regexp_replace({gone}, '[\\s\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{2800}}\\x{{3164}}]+', ' ', 'g'))"
+    for ch, plain in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
+        blanks = f"replace({blanks}, '{ch}', '{plain}')"
+    quoted = lambda i: "".join(p[i] for p in pairs).replace("'", "''")
+    return f"nfc_normalize(translate(nfc_normalize({blanks}), '{quoted(0)}', '{quoted(1)}'))"
+
+
+_MISSING = ", ".join(f"'{w}'" for w in sorted(lookalike.PLACEHOLDERS))
 ORACLES: dict[str, str] = {
+    "p6_found": (
+        "WITH texts AS (SELECT DISTINCT entity_id, 'business_name' AS field_name, business_name AS raw FROM source1 WHERE entity_id IS NOT NULL AND business_name IS NOT NULL "
+        "UNION SELECT DISTINCT entity_id, 'business_address', business_address FROM source1 WHERE entity_id IS NOT NULL AND business_address IS NOT NULL), "
+        f"forms AS (SELECT *, {_translated('raw')} AS form FROM texts), kept AS (SELECT * FROM forms WHERE lower(form) NOT IN ({_MISSING})) "
+        "SELECT DISTINCT a.entity_id AS entity_id_1, b.entity_id AS entity_id_2, field_name FROM kept a JOIN kept b USING (field_name, form) WHERE a.entity_id < b.entity_id AND a.raw <> b.raw"
+    ),
+    "p8_reached": (
+        "WITH held AS (SELECT DISTINCT lower(trim(source)) AS source FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL AND text <> ''), "
+        "goal AS (SELECT lower(trim(source)) AS source, target_share FROM mix_targets) "
+        "SELECT source, round(CASE WHEN source IN (SELECT source FROM held) THEN target_share / (SELECT sum(target_share) FROM goal SEMI JOIN held USING (source)) ELSE 0 END, 3) AS share FROM goal"
+    ),
     "p1_found": (
         f"WITH RECURSIVE raw AS (SELECT DISTINCT {_record('source1_entity_id')} AS s1, CASE WHEN {_OWNER} IN ('', '0') THEN NULL ELSE 'BE-' || lpad({_OWNER}, greatest(length({_OWNER}), 8)::INT, '0') END AS owner, matched_entity_ids AS ids FROM match_labels), "
         f"listed AS (SELECT s1, owner, {_record('x')} AS id FROM (SELECT s1, owner, unnest(regexp_split_to_array(coalesce(ids, ''), '[,;|]')) AS x FROM raw)), "

@@ -73,6 +73,10 @@ def test_look_alike_classes():
     for _ in range(300):
         t = "".join(rng.choice("aаｅеééﬁfi ​-‑ΝNsſt") for _ in range(8))
         assert f(f(t)) == f(t)
+    for x, y in (("a\u0323\u0301", "a\u0301\u0323"), ("ạ\u0301", "а\u0301\u0323"), ("ᎪᏢꓑ", "APP"), ("Ⲟⲟα", "Ooa"), ("ӏ", "l"), ("𝐀𝑏𝟑", "Ab3"), ("a−b", "a-b"), ("ℌ", "H"), ("ё", "ë")):
+        assert f(x) == f(y), (x, y)
+    often = Rewriter(LookAlikes({"ﬁ": 9, "fi": 1, "ﬃ": 1, "і": 5}).rewrites)
+    assert often("fin") == often("ﬁn") == "fіn" and often("oﬃce") == often("office") == often("oﬀice") == often("ofﬁce")
     counts = {"а": 9, "a": 1}
     assert Rewriter(LookAlikes(counts).rewrites)("a") == "а"  # the more frequent one stands for the class
 
