@@ -102,8 +102,10 @@ malappuram: malapuram
 tiruvallur: thiruvallur
 new delhi: newdelhi
 """)
+# Words left out of addresses; words after which "st" is a street; kinds of settlement; what stands for nothing.
 DROPPED = ("unit", "suite", "city")
 AFTER_STREET = ("n", "s", "e", "w", "ne", "nw", "se", "sw", "north", "south", "east", "west", "apt", "apartment", "unit", "suite", "ste", "fl", "floor", "flr", "bldg")
+SETTLEMENTS = ("city", "town", "village")
 NULL_PARTS = ("null", "na", "n a", "none")
 # States of the United States, of India (also as transliterated), regions of France with their departments.
 STATES = table("""
