@@ -11,7 +11,7 @@ from ..functions import normalize as nz
 from ..functions.transliterate import transliterate
 from ..operators import blocking, errors, evaluate, features, matching, split, validate
 from ..sources import sinks, tables
-from . import pipeline
+from . import normal_sql, pipeline
 from .lineage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +45,7 @@ def targets_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def simple(df: DataFrame) -> DataFrame:
-    """A plain normal form that SQL engines share; the rules proper are in ``normalized_records``."""
+    """A plain normal form; the rules proper are in ``normalized_records`` and in what is built on it."""
     clean = lambda c, kept: F.trim(F.regexp_replace(F.lower(c), f"[^a-z0-9{kept}]+", " "))
     legal = F.filter(F.split("name_norm", " "), lambda w: w.isin(*LEGAL_WORDS))
     return df.withColumns({"name_norm": clean("business_name", ""), "address_norm": clean("business_address", ",/-")}).withColumn("legal_form", F.array_join(F.array_sort(F.array_distinct(legal)), " "))
@@ -159,6 +159,10 @@ def split_counts(spark: SparkSession, sf: str) -> DataFrame:
     return split.counts(spark, _split(spark, sf), N_SETS)
 
 
+EVERY = f"{BASE}, every AS (SELECT * FROM s1 UNION ALL SELECT * FROM t), {normal_sql.latin_cte('l', 'every')}, {normal_sql.names_sql('n', 'l')}, {normal_sql.addresses_sql('norm', 'n')}"
+NORMAL = f"{EVERY}, n1 AS (SELECT * FROM norm SEMI JOIN s1 USING (entity_id)), nt AS (SELECT * FROM norm SEMI JOIN t USING (entity_id))"
+
+
 def _grams_sql(name: str, of: str) -> str:
     return (
         f"{name}_w AS (SELECT country, entity_id, ' ' || w || ' ' AS p FROM (SELECT country, entity_id, unnest(regexp_split_to_array(lower(name_norm || ' ' || address_norm), '\\s+')) AS w FROM {of}) WHERE w <> ''), "
@@ -174,14 +178,23 @@ def _vectors_sql(name: str, of: str) -> str:
     )
 
 
-IDF = (
-    f"{BASE}, {_simple_sql('n1', 's1')}, {_simple_sql('nt', 't')}, {_grams_sql('gt', 'nt')}, docs AS (SELECT count(*) AS n FROM t), dfs AS (SELECT gram, count(*) AS df FROM gt GROUP BY 1), "
-    "idf AS (SELECT gram, df, ln((1 + n::DOUBLE) / (1 + df)) + 1 AS idf FROM dfs, docs WHERE df <= 0.05 * n)"
-)
-TOPK = (
-    f"{IDF}, {_vectors_sql('vt', 'gt')}, {_grams_sql('gq', 'n1')}, {_vectors_sql('vq', 'gq')}, dots AS (SELECT q.entity_id AS s1_id, v.entity_id AS cand_id, sum(q.w * v.w) AS score FROM vq q JOIN vt v USING (country, gram) GROUP BY 1, 2), "
-    "top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY round(score, 6) DESC, cand_id) - 1 AS INT) AS rank FROM dots) WHERE rank < 20)"
-)
+def _idf_sql(base: str) -> str:
+    """``base`` has to hold the targets in normal form as ``nt``."""
+    return (
+        f"{base}, {_grams_sql('gt', 'nt')}, docs AS (SELECT count(*) AS n FROM t), dfs AS (SELECT gram, count(*) AS df FROM gt GROUP BY 1), "
+        "idf AS (SELECT gram, df, ln((1 + n::DOUBLE) / (1 + df)) + 1 AS idf FROM dfs, docs WHERE df <= 0.05 * n)"
+    )
+
+
+def _topk_sql(base: str) -> str:
+    return (
+        f"{_idf_sql(base)}, {_vectors_sql('vt', 'gt')}, {_grams_sql('gq', 'n1')}, {_vectors_sql('vq', 'gq')}, dots AS (SELECT q.entity_id AS s1_id, v.entity_id AS cand_id, sum(q.w * v.w) AS score FROM vq q JOIN vt v USING (country, gram) GROUP BY 1, 2), "
+        "top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY round(score, 6) DESC, cand_id) - 1 AS INT) AS rank FROM dots) WHERE rank < 20)"
+    )
+
+
+SIMPLE = f"{BASE}, {_simple_sql('n1', 's1')}, {_simple_sql('nt', 't')}"
+IDF, TOPK = _idf_sql(SIMPLE), _topk_sql(SIMPLE)
 
 
 @query(f"WITH {IDF} SELECT gram, df, round(idf, 9) AS idf FROM idf")
@@ -209,19 +222,19 @@ def block_recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.recall_at(truth_of(spark, sf), _topk(spark, sf), (1, 5, 10, 20)).select("k", r("recall", "recall"))
 
 
-@query()
+@query(f"WITH {_topk_sql(NORMAL)} SELECT s1_id, cand_id, rank, round(score, 4) AS score FROM top")
 def block_topk_normalized(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates after transliteration and the full rules."""
     s1, t = pipeline.prepare(s1_of(spark, sf), targets_of(spark, sf))
     return blocking.TrigramBlocker().fit(t).query(s1, 20).select("s1_id", "cand_id", "rank", r("score", "score", 4))
 
 
-@query()
+@query(f"WITH {BASE}, {normal_sql.latin_cte('l', 't')} SELECT * FROM l")
 def transliterated(spark: SparkSession, sf: str) -> DataFrame:
     return transliterate(targets_of(spark, sf))
 
 
-@query()
+@query(f"WITH {EVERY} SELECT entity_id, name_norm, legal_form, address_norm FROM norm")
 def normalized_records(spark: SparkSession, sf: str) -> DataFrame:
     return nz.normalize(transliterate(tables.targets(s1_of(spark, sf), targets_of(spark, sf)))).select("entity_id", "name_norm", "legal_form", "address_norm")
 
@@ -232,7 +245,7 @@ def pair_rank_gap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PAIRS = (
-    f"{BASE}, {CAND}, {_simple_sql('n1', 's1')}, {_simple_sql('nt', 't')}, x AS (SELECT c.s1_id, c.cand_id, list_distinct(list_filter(string_split(a.name_norm, ' '), lambda w: w <> '')) AS an, "
+    f"{NORMAL}, {CAND}, x AS (SELECT c.s1_id, c.cand_id, list_distinct(list_filter(string_split(a.name_norm, ' '), lambda w: w <> '')) AS an, "
     "list_distinct(list_filter(string_split(b.name_norm, ' '), lambda w: w <> '')) AS bn, list_distinct(list_filter(string_split(a.address_norm, ' '), lambda w: w <> '')) AS aa, list_distinct(list_filter(string_split(b.address_norm, ' '), lambda w: w <> '')) AS ba, "
     "list_distinct(list_filter(string_split(translate(a.address_norm, '/-', '  '), ' '), lambda w: regexp_full_match(w, '[0-9]+'))) AS ad, list_distinct(list_filter(string_split(translate(b.address_norm, '/-', '  '), ' '), lambda w: regexp_full_match(w, '[0-9]+'))) AS bd, "
     "a.legal_form AS al, b.legal_form AS bl, a.address_norm AS aat, b.address_norm AS bat FROM cand c JOIN n1 a ON a.entity_id = c.s1_id JOIN nt b ON b.entity_id = c.cand_id)"
@@ -245,7 +258,7 @@ def _j(a: str, b: str) -> str:
 
 
 def _features(spark: SparkSession, sf: str, fuzzy: bool = False) -> DataFrame:
-    return features.pair_features(candidates_of(spark, sf).select("s1_id", "cand_id", "score"), simple(s1_of(spark, sf)), simple(targets_of(spark, sf)), fuzzy)
+    return features.pair_features(candidates_of(spark, sf).select("s1_id", "cand_id", "score"), *pipeline.prepare(s1_of(spark, sf), targets_of(spark, sf)), fuzzy)
 
 
 @query(f"WITH {PAIRS} SELECT s1_id, cand_id, round({_j('an', 'bn')}, 6) AS name_jaccard, round({_j('aa', 'ba')}, 6) AS addr_jaccard, (len(list_distinct(list_concat(an, bn))) - len(list_intersect(an, bn)))::DOUBLE AS name_extra_tokens FROM x")
