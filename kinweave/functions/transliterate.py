@@ -86,7 +86,3 @@ def transliterate(df: DataFrame, columns: tuple[str, ...] = ("business_name", "b
     The function leaves ASCII texts alone, so most rows only pass through it in Arrow batches.
     """
     return df.withColumns({c: latin_column(F.col(c)) for c in columns})
-
-
-def is_ascii(c: Column) -> Column:
-    return ~c.rlike(r"[^\x00-\x7F]")

@@ -61,6 +61,11 @@ def candidates_per_record(candidates: DataFrame, records: DataFrame) -> DataFram
     return candidates.agg(F.count(F.lit(1)).alias("p")).crossJoin(records.agg(F.count(F.lit(1)).alias("r"))).select((F.col("p") / F.nullif(F.col("r"), F.lit(0))).alias("pairs_per_record"))
 
 
+def singleton_rate(truth: DataFrame) -> DataFrame:
+    """``singleton_rate``: the share of records without a true match; null for an empty truth."""
+    return truth.agg(F.avg((F.size("ids") == 0).cast("double")).alias("singleton_rate"))
+
+
 def baselines(truth: DataFrame, candidates: DataFrame) -> DataFrame:
     """``baseline, f0_5`` of predicting nothing and of taking the best candidate of each record."""
     nothing = macro_score(truth, candidates.where("false")).select(F.lit("nothing").alias("baseline"), "f0_5")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import exists, match_targets, read_ids
+
 HEADERS = {"matches": ("source1_entity_id", "matched_entity_ids"), "candidates": ("source1_entity_id", "candidate_entity_ids")}
 EXAMPLES = 5
 
@@ -79,22 +79,23 @@ def findings(rows: DataFrame, required: DataFrame, known: DataFrame | None = Non
     return out
 
 
-def check_file(path: str, kind: str) -> list[str]:
-    """What stops a file from being read at all: missing, empty, not UTF-8, no tabs, or another header."""
-    if not os.path.exists(path):
+def check_file(spark: SparkSession, path: str, kind: str) -> list[str]:
+    """What stops a file, or a folder of files, from being read at all: missing, empty, not UTF-8, no tabs, or another header.
+
+    Bytes that are not UTF-8 are told by the sign that stands for them after reading, so that sign itself is not allowed.
+    """
+    if not exists(spark, path):
         return [f"{path} is missing"]
-    try:
-        with open(path, encoding="utf-8") as f:
-            first = f.readline()
-            for _ in f:
-                pass
-    except (OSError, UnicodeDecodeError) as e:
-        return [f"{path} can't be read as UTF-8: {e}"]
-    if not first.strip():
+    lines = spark.read.text(path)
+    first = lines.first()
+    if first is None or not first["value"].strip():
         return [f"{path} is empty"]
-    if "\t" not in first and "," in first:
+    if lines.where(F.col("value").contains("\ufffd")).limit(1).count():
+        return [f"{path} can't be read as UTF-8"]
+    header = first["value"]
+    if "\t" not in header and "," in header:
         return [f"{path} seems to be parted by commas; tabs are wanted"]
-    if tuple(x.strip().lower() for x in first.rstrip("\n").split("\t")) != HEADERS[kind]:
+    if tuple(x.strip().lower() for x in header.split("\t")) != HEADERS[kind]:
         return [f"{path} should have the header {' '.join(HEADERS[kind])}"]
     return []
 
@@ -111,10 +112,8 @@ def read_result(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def validate_folder(spark: SparkSession, folder: str, test_folder: str, check_ids: bool = False) -> tuple[list[str], list[str]]:
     """Errors and warnings about the result files of a folder."""
-    from ..sources.tables import match_targets, read_ids
-
-    source = os.path.join(test_folder, "test_source1.tsv")
-    if not os.path.exists(source):
+    source = f"{test_folder}/test_source1.tsv"
+    if not exists(spark, source):
         return [f"{source} is missing"], []
     required = read_ids(spark, source).select(F.col("id").alias("s1_id"))
     errors, warnings, tables = [], [], {}
@@ -125,11 +124,11 @@ def validate_folder(spark: SparkSession, folder: str, test_folder: str, check_id
     else:
         warnings.append("ids are not checked against the targets")
     for kind, name in (("matches", "matching_results.tsv"), ("candidates", "candidate_pairs.tsv")):
-        path = os.path.join(folder, name)
-        if kind == "candidates" and not os.path.exists(path):
+        path = f"{folder}/{name}"
+        if kind == "candidates" and not exists(spark, path):
             warnings.append(f"{path} is missing")
             continue
-        stop = check_file(path, kind)
+        stop = check_file(spark, path, kind)
         if stop:
             errors += stop
             continue

@@ -357,6 +357,19 @@ def mean_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.mean_candidates(truth_of(spark, sf), candidates_of(spark, sf)).select(r("mean_candidates", "mean_candidates"))
 
 
+@query(f"WITH {TRUTH}, n AS (SELECT s1_id, count(*) AS n FROM truth GROUP BY 1) SELECT round(avg((n IS NULL)::INT), 6) AS singleton_rate FROM spine LEFT JOIN n USING (s1_id)")
+def singleton_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.singleton_rate(truth_of(spark, sf)).select(r("singleton_rate", "singleton_rate"))
+
+
+@query("WITH parts AS (SELECT source1_entity_id AS s1_id, loaded_at, coalesce(matched_entity_ids, '') AS ids FROM match_labels WHERE source1_entity_id IS NOT NULL), last AS (SELECT s1_id, max(loaded_at) AS loaded_at FROM parts GROUP BY 1), "
+       "one AS (SELECT s1_id, max(ids) AS ids FROM parts JOIN last USING (s1_id, loaded_at) GROUP BY 1) SELECT s1_id, array_to_string(list_sort(list_distinct(list_filter(string_split(ids, ','), lambda x: x <> ''))), ',') AS ids FROM one")
+def truth_lists_last(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the rows of one record the last that arrived."""
+    lists = tables.id_lists(table(spark, sf, "match_labels").withColumn("matched_entity_ids", F.coalesce("matched_entity_ids", F.lit(""))), "source1_entity_id", "matched_entity_ids", "loaded_at")
+    return lists.select("s1_id", F.array_join(F.array_sort("ids"), ",").alias("ids"))
+
+
 @query(f"WITH {CAND}, {TRUTH}, ks AS (SELECT CAST(unnest([1, 5, 10, 20]) AS INT) AS k) SELECT k, round((SELECT count(*) FROM truth JOIN cand USING (s1_id, cand_id) WHERE rank < k) / (SELECT count(*) FROM truth), 6) AS recall FROM ks")
 def given_recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.recall_at(truth_of(spark, sf), candidates_of(spark, sf), (1, 5, 10, 20)).select("k", r("recall", "recall"))

@@ -93,3 +93,42 @@ def test_registered_trees_are_those_of_the_operator(spark, monkeypatch):
     __spark_entry__.queries()["gbt_match_proba"](spark, str(DATA))
     monkeypatch.undo()
     assert made == [matching.Matcher().params]
+
+
+def test_commands_from_files_to_a_valid_result(spark, tmp_path, capsys):
+    header = "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
+    line = lambda p, k: f"{p}-{k:03}\tFirm {chr(97 + k % 26) * 3} {chr(97 + k * 7 % 26) * 4} Tools\t{k} {chr(97 + k * 5 % 26) * 5} Street, Town{k}\tUS\n"
+    train, test, sets, out, model = (str(tmp_path / x) for x in ("train", "test", "sets", "out", "model"))
+    for folder, prefix, ks in ((train, "train", range(80)), (test, "test", range(80, 100))):
+        pathlib.Path(folder).mkdir()
+        for i in (1, 2, 3):
+            pathlib.Path(folder, f"{prefix}_source{i}.tsv").write_text(header + "".join(line(f"S{i}", k) for k in ks if i != 3 or k % 2))
+    pathlib.Path(train, "train_ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"S1-{k:03}\t{'' if k % 9 == 0 else f'S2-{k:03}'}\n" for k in range(80)))
+    common = ["--train", train, "--sets-dir", sets, "--n-sets", "3"]
+    assert pipeline.main(["block", *common, "--sets", "0,1"]) == 0 and "recall" in capsys.readouterr().out
+    assert pipeline.main(["split", *common]) == 0 and "source ground_truth" in capsys.readouterr().out
+    from kinweave.sources import tables
+
+    parts = [tables.load_sets(spark, sets, [k]) for k in range(3)]
+    assert sum(p[0].count() for p in parts) == 80 and sum(p[2].count() for p in parts) == 80 and tables.load_sets(spark, sets)[1].count() == 120
+    for s1, targets, truth in parts:  # matches follow their owners
+        assert truth.selectExpr("explode(ids) as entity_id").join(targets, "entity_id", "left_anti").count() == 0
+    from kinweave.operators import matching
+
+    default = matching.Matcher.__init__.__defaults__
+    matching.Matcher.__init__.__defaults__ = (2, 2, *default[2:])
+    try:
+        assert pipeline.main(["train", *common, "--train-sets", "0,1", "--val-set", "2", "--model", model, "--out", out]) == 0
+    finally:
+        matching.Matcher.__init__.__defaults__ = default
+    assert "f0_5" in capsys.readouterr().out
+    assert pipeline.main(["analyze", *common, "--sets", "2", "--model", model, "--threshold", "0.5"]) == 0 and "== ceiling" in capsys.readouterr().out
+    assert pipeline.main(["predict", "--model", model, "--test", test, "--out", out, "--threshold", "0.5"]) == 0
+    assert pipeline.main(["validate", "--results", out, "--test", test, "--check-ids"]) == 0, capsys.readouterr().out
+    from kinweave.sources import sinks
+
+    sinks.merged(spark, f"{out}/matching_results.tsv", str(tmp_path / "one.tsv"))
+    lines = (tmp_path / "one.tsv").read_text().splitlines()
+    assert lines[0] == "source1_entity_id\tmatched_entity_ids" and [x.split("\t")[0] for x in lines[1:]] == [f"S1-{k:03}" for k in range(80, 100)]
+    pathlib.Path(test, "test_source1.tsv").write_text(header + line("S1", 80) + line("S1", 500))
+    assert pipeline.main(["validate", "--results", out, "--test", test]) == 1 and "missing_rows: 1" in capsys.readouterr().out

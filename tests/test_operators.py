@@ -118,4 +118,4 @@ def test_validator(spark, tmp_path):
     assert all(x in said for x in ("duplicate_rows", "repeated_ids", "own_ids", "bad_ids", "missing_rows", "extra_rows", "unknown_ids", "without a tab")) and any("not_among" in w for w in warned)
     (out / "matching_results.tsv").write_text("a,b\n")
     assert "commas" in validate.validate_folder(spark, str(out), str(tmp_path))[0][0]
-    assert validate.check_file(str(tmp_path / "none"), "matches")
+    assert validate.check_file(spark, str(tmp_path / "none"), "matches")
