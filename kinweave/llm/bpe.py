@@ -183,11 +183,9 @@ def character_classes() -> np.ndarray:
 
 
 def _unassigned(c: int) -> int:
-    """Class of a code point that Python's tables don't know, as the tokenizer library has it."""
-    try:
-        from tokenizers.pre_tokenizers import ByteLevel
-    except ImportError:
-        return OTHER
+    """Class of a code point that Python's tables don't know, as the tokenizer library has it; without the library there is no id to be had."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
     spans = [s for _, s in ByteLevel(add_prefix_space=False).pre_tokenize_str("a" + chr(c) + "1")]
     return LETTER if spans[0] == (0, 2) else NUMBER if spans[-1] == (1, 3) else OTHER
 
@@ -236,13 +234,13 @@ def word_starts(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
 class BatchEncoder:
     """Ids of many texts at once. Null and empty texts have no ids."""
 
-    SHORT = 48  #: words up to this many characters are told apart by a 64-bit hash, longer ones by themselves
+    SHORT = 48  #: words up to this many characters are gathered by a 64-bit hash and then compared, longer ones by themselves
     CHUNK = 1 << 19  #: characters handled at once; bounds the memory
     KEPT = 400_000  #: distinct words kept between batches
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.known: dict[object, tuple[int, ...]] = {}
+        self.known: dict[object, tuple[str, tuple[int, ...]]] = {}
         self._base = 0x9E3779B97F4A7C15 | 1
         self._inverse = pow(self._base, -1, 1 << 64)
         self._up = self._down = np.empty(0, np.uint64)
@@ -255,12 +253,14 @@ class BatchEncoder:
                 setattr(self, name, np.cumprod(p, dtype=np.uint64))
 
     def _word(self, key: object, word: str) -> tuple[int, ...]:
-        ids = self.known.get(key)
-        if ids is None:
-            data = word.encode()
-            token = self.v.ranks.get(data)
-            ids = (token,) if token is not None and self.v.alone(token) else tuple(PrefixEncoding(self.v, data).ids())
-            self.known[key] = ids
+        kept = self.known.get(key)
+        if kept is not None and kept[0] == word:
+            return kept[1]
+        data = word.encode()
+        token = self.v.ranks.get(data)
+        ids = (token,) if token is not None and self.v.alone(token) else tuple(PrefixEncoding(self.v, data).ids())
+        if kept is None:
+            self.known[key] = word, ids
         return ids
 
     def _chunk(self, texts: Sequence[str], counts_only: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -285,21 +285,21 @@ class BatchEncoder:
         keys = (total[to] - total[at]) * self._down[at]
         if len(self.known) > self.KEPT:
             self.known.clear()
-        long = np.flatnonzero(to - at > self.SHORT)
+        size = to - at
         codes, uniques = pd.factorize(keys)
         firsts = np.empty(len(uniques), np.int64)
         firsts[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        is_long = np.zeros(len(codes), bool)
-        is_long[long] = True
+        # every word is compared with the first of its hash, letter by letter
+        first = firsts[codes]
+        single = (size > self.SHORT) | (size != size[first])
+        other = np.flatnonzero(points != points[np.arange(n) + np.repeat(np.where(single, 0, at[first] - at), size)])
+        single[np.searchsorted(at, other, side="right") - 1] = True
         found: list[tuple[int, ...]] = []
-        known, word = self.known, self._word
-        for key, f in zip(uniques.tolist(), firsts.tolist()):
-            ids = known.get(key)
-            if ids is None:
-                ids = () if is_long[f] else word(key, whole[at[f] : to[f]])
-            found.append(ids)
+        word = self._word
+        for key, f, b, e in zip(uniques.tolist(), firsts.tolist(), at[firsts].tolist(), to[firsts].tolist()):
+            found.append(() if single[f] else word(key, whole[b:e]))
         extra: dict[str, int] = {}
-        for i in long.tolist():
+        for i in np.flatnonzero(single).tolist():
             w = whole[at[i] : to[i]]
             if w not in extra:
                 extra[w] = len(found)

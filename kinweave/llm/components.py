@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from .pairs import SHARE
 
 
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,7 +55,7 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ma
     Level by level, forests of parts are merged: first inside each input partition, then among the parts that share a hash
     of a node, each time keeping one edge for each node of a part. The last levels of a pure hierarchy would put all trees
     into one task, so they run as rounds over a distributed table instead: each node hooks the larger of its neighbours to
-    the smallest one, then the smaller ones. Rounds end when nothing changes. No task holds more than a hash part of the
+    the smallest one, then the smaller ones. The neighbours of a hub are dealt into shares, so no task gathers them. Rounds end when nothing changes. No task holds more than a hash part of the
     nodes, and no edges reach the driver. Edges with a null end are left out; an edge from a node to itself
     keeps the node as a component of its own; repeated edges count once. An empty table gives an empty result.
     """
@@ -66,11 +67,12 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ma
     seen = _signature(e)
     if seen[0]:
         for _ in range(max_rounds):
-            # neighbours on both sides; the minimum is combined before the shuffle
-            both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-            hooked = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-            down = hooked.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+            low = e.groupBy("u").agg(F.min("v").alias("m"))  # combined before the shuffle
+            # the larger neighbours of a node go to its smallest one; a node without a smaller one keeps them
+            hot = e.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARE).select("v", F.ceil(F.col("n") / F.lit(SHARE)).cast("int").alias("shares"))
+            dealt = e.join(hot, "v", "left").withColumn("s", F.coalesce(F.pmod(F.xxhash64("u"), F.col("shares")).cast("int"), F.lit(0))).select("u", "v", "s")
+            lows = low.withColumnRenamed("u", "v").join(hot, "v", "left").select("v", "m", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("s"))
+            down = dealt.join(lows, ["v", "s"], "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
             low = down.groupBy("u").agg(F.min("v").alias("m"))
             pulled = down.join(low, "u")
             e = cut(pulled.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())

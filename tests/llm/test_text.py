@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -177,3 +178,16 @@ def test_prose_may_begin_a_line_like_a_statement():
     assert paragraphs("\n".join(wrapped)) == [" ".join(wrapped)]
     for line in ("import numpy as np", "from os import path as p", "return a if b else c", "package org.acme.tools", "public static void main", "return the[0]", "let x be the.value", "using the thing;", "return not found"):
         assert paragraphs(line) == [], line
+
+
+def test_words_of_one_hash_are_told_apart():
+    from kinweave.llm.bpe import BatchEncoder, batch_encoder
+
+    texts = ["the cat sat on the mat", "dog dot dog", "", None, "cat " * 50, "x" * 200 + " the"]
+    want = batch_encoder().encode(texts)
+    clash = BatchEncoder(batch_encoder().v)
+    clash._base = 0
+    clash._powers = lambda n: setattr(clash, "_up", np.zeros(n, np.uint64)) or setattr(clash, "_down", np.zeros(n, np.uint64))  # every word has hash 0
+    for _ in range(2):
+        got = clash.encode(texts)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
