@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .addresses import parse_address, place_key, place_of, same_place
-from .pairs import pairs_within
+from .addresses import loose_text, parse_address, place_key, place_of, same_place
+from .pairs import meet, pairs_within
 
 COSINE = 0.25  #: least cosine of the weighted n-grams of two street names; the grams of a typo are rare and weigh most, so slips have keys of their own
+LOOSE = 0.8  #: least cosine of whole addresses in which no number and street are found; their numbers have to be equal
+CROWD = 300  #: addresses of one number and street, above which they meet by town and postcode instead of all with all
 PARSED = "raw string, key string, number string, grams array<string>"
 
 
@@ -27,8 +29,14 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for raw in b["raw"]:
             p = parse_address(raw)
-            if p is not None and p.number and p.street:
+            if p is None:
+                continue
+            if p.number and p.street:
                 rows.append((raw, place_key(p), p.number, street_grams(p.street)))
+                continue
+            numbers, words = loose_text(raw)
+            if words:
+                rows.append((raw, f"~{numbers}/{words}", numbers, sorted({g for w in words.split() for g in street_grams(w)})))
         yield pd.DataFrame(rows, columns=["raw", "key", "number", "grams"])
 
 
@@ -38,7 +46,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def parsed_addresses(addresses: DataFrame) -> DataFrame:
-    """``raw, key, number, grams`` of each distinct address that has a number and a street."""
+    """``raw, key, number, grams`` of each distinct address: grams of the street's name, or of all words where no number and street are found (the key then begins with ``~``)."""
     return addresses.select(F.col("raw")).where("raw is not null").distinct().mapInPandas(_parse, PARSED)
 
 
@@ -91,24 +99,64 @@ def slip_candidates(streets: DataFrame) -> DataFrame:
     return index.withColumnRenamed("id", "id_1").join(index.withColumnRenamed("id", "id_2"), "k").where("id_1 < id_2").select("id_1", "id_2").distinct()
 
 
+def _town_slips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for i, key in zip(b["id"], b["key"]):
+            p = place_of(key)
+            words = {w for w in p.town.split()} | {p.town.replace(" ", "")}
+            tokens = {"T" + s for w in words if w for s in street_slips(w)} | ({"P" + p.postcode} if p.postcode else set())
+            kind = ("b" if p.postcode else "t") if p.town else "p" if p.postcode else "n"
+            rows += [(i, key, kind, t) for t in tokens] or [(i, key, kind, None)]
+        yield pd.DataFrame(rows, columns=["id", "key", "kind", "token"])
+
+
+def crowd_pairs(near: DataFrame, keys: DataFrame) -> DataFrame:
+    """``a, b``: pairs of addresses of ``near`` streets, for streets with any number of addresses.
+
+    Addresses that both name a town share a slip of one of its words, and those that both have a postcode but not both a town share that. Where
+    one lacks the town and one, maybe the other, the postcode, nothing tells them apart, so all of these meet; they are one place.
+    """
+    spread = keys.mapInPandas(_town_slips, "id string, key string, kind string, token string")
+    left = near.join(spread.select(F.col("id").alias("id_1"), F.col("key").alias("a"), "token", F.col("kind").alias("ka")), "id_1").withColumnRenamed("id_2", "id")
+    right = spread.select("id", F.col("key").alias("b"), "token", F.col("kind").alias("kb"))
+    spot = lambda df: df.withColumn("spot", F.xxhash64("id", "token")).drop("id", "token")
+    told = meet(spot(left.where("token is not null").select("id", "a", "token")), spot(right.where("token is not null").select("id", "b", "token")), "spot").select("a", "b")
+    once = lambda df, key, kind: df.select("id", key, kind).distinct()
+    x, y = once(left, "a", "ka"), once(right, "b", "kb")
+    untold = None
+    for p, q in (("ka = 'n'", "true"), ("ka <> 'n'", "kb = 'n'"), ("ka = 't'", "kb = 'p'"), ("ka = 'p'", "kb = 't'")):
+        part = meet(x.where(p), y.where(q), "id").select("a", "b")
+        untold = part if untold is None else untold.union(part)
+    return told.union(untold)
+
+
 def matching_keys(parsed: DataFrame) -> DataFrame:
     """``key_1, key_2`` of different parsed addresses of one place."""
-    streets = parsed.select("number", "grams", "key", F.split("key", "/")[2].alias("street")).withColumn("id", F.concat_ws("/", "number", "street"))
-    distinct = streets.groupBy("id", "number", "street").agg(F.first("grams").alias("grams"))
-    near = prefix_candidates(distinct.drop("street")).union(slip_candidates(distinct)).distinct()
-    near = near.union(distinct.select(F.col("id").alias("id_1"), F.col("id").alias("id_2")))
+    loose = parsed.where("startswith(key, '~')").groupBy(F.col("key").alias("id"), "number").agg(F.first("grams").alias("grams"))
+    by_cosine = prefix_candidates(loose, LOOSE).select(F.col("id_1").alias("key_1"), F.col("id_2").alias("key_2"))
+    named = parsed.where("not startswith(key, '~')")
+    streets = named.select("number", "grams", "key", F.split("key", "/")[2].alias("street")).withColumn("id", F.concat_ws("/", "number", "street"))
+    distinct = streets.groupBy("id", "number", "street").agg(F.first("grams").alias("grams"), F.count_distinct("key").alias("n"))
+    near = prefix_candidates(distinct.select("id", "number", "grams")).union(slip_candidates(distinct)).distinct()
+    near = cut(near.union(distinct.select(F.col("id").alias("id_1"), F.col("id").alias("id_2"))))
     keys = streets.select("id", "key").distinct()
-    pairs = near.join(keys.select(F.col("id").alias("id_1"), F.col("key").alias("a")), "id_1").join(keys.select(F.col("id").alias("id_2"), F.col("key").alias("b")), "id_2")
-    pairs = pairs.where("a <> b and (id_1 <> id_2 or a < b)").select(F.least("a", "b").alias("key_1"), F.greatest("a", "b").alias("key_2"))
-    return pairs.mapInPandas(_verify, "key_1 string, key_2 string")
+    crowded = distinct.where(F.col("n") > CROWD).select("id")
+    busy = near.join(crowded.withColumnRenamed("id", "id_1"), "id_1", "left_semi").union(near.join(crowded.withColumnRenamed("id", "id_2"), "id_2", "left_semi").select("id_1", "id_2")).distinct()
+    quiet = near.join(busy, ["id_1", "id_2"], "left_anti")
+    all_pairs = quiet.join(keys.select(F.col("id").alias("id_1"), F.col("key").alias("a")), "id_1").join(keys.select(F.col("id").alias("id_2"), F.col("key").alias("b")), "id_2").select("a", "b")
+    ends = busy.select(F.col("id_1").alias("id")).union(busy.select("id_2")).distinct()
+    pairs = all_pairs.union(crowd_pairs(busy, keys.join(ends, "id", "left_semi"))).where("a <> b").select(F.least("a", "b").alias("key_1"), F.greatest("a", "b").alias("key_2")).distinct()
+    return pairs.mapInPandas(_verify, "key_1 string, key_2 string").union(by_cosine)
 
 
 def same_place_pairs(records: DataFrame) -> DataFrame:
     """``entity_id_1, entity_id_2`` of records whose addresses are written differently but mean the same place.
 
-    Records without an address (null, blank, a placeholder), or with one that names no number and street, are in no pair. A part
+    Records without an address (null, blank, a placeholder) are in no pair. A part
     that one side leaves out does not tell places apart; a number, street, kind of street, town or unit that
-    differs does. Addresses that parse alike are joined first, so copies cost nothing. Repeated records count once; extra columns are
+    differs does. Addresses in which no number and street are found mean the same place if their numbers are equal and the weighted n-grams of
+    all their words have a cosine of at least ``LOOSE``. Addresses that parse alike are joined first, so copies cost nothing. Repeated records count once; extra columns are
     ignored; an empty table gives an empty result.
     """
     rows = records.select("entity_id", F.col("business_address").alias("raw")).where("entity_id is not null and raw is not null").distinct()
@@ -118,5 +166,5 @@ def same_place_pairs(records: DataFrame) -> DataFrame:
     keys = matching_keys(parsed)
     a = placed.select(F.col("entity_id").alias("e1"), F.col("key").alias("key_1"))
     b = placed.select(F.col("entity_id").alias("e2"), F.col("key").alias("key_2"))
-    across = keys.join(a, "key_1").join(b, "key_2").where("e1 <> e2").select(F.least("e1", "e2").alias("entity_id_1"), F.greatest("e1", "e2").alias("entity_id_2"))
+    across = meet(meet(keys, a, "key_1"), b, "key_2").where("e1 <> e2").select(F.least("e1", "e2").alias("entity_id_1"), F.greatest("e1", "e2").alias("entity_id_2"))
     return inside.union(across).distinct()

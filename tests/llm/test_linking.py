@@ -232,6 +232,26 @@ def test_streets_with_slips_meet_in_spite_of_rare_grams(spark):
     assert got == {("S1-00", "S1-01"), ("S1-02", "S1-03"), ("S1-04", "S1-05")}
 
 
+def test_crowded_streets_meet_by_town_and_postcode(spark, monkeypatch):
+    rng = random.Random(4)
+    towns = ["Salwol", "Salwoll", "Birga", "Birgamor Springs", "Rerlodar", ""]
+    rows = []
+    for i in range(60):
+        street = rng.choice(("Nertubat", "Nertubta", "Gilmopok"))
+        town, code = rng.choice(towns), rng.choice(("10000", "10007", "20555", ""))
+        rows.append((f"S1-{i:02}", "n", f"{rng.choice((12, 13))} {street} Street" + (f", {town}" if town else "") + (f", TX {code}" if code else ""), "US"))
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[2] != y[2] and same_place(parse_address(x[2]), parse_address(y[2]))}
+    assert len(want) > 50
+    for crowd in (300, 3):
+        monkeypatch.setattr(places, "CROWD", crowd)
+        assert {tuple(r) for r in places.same_place_pairs(records(spark, rows)).collect()} == want
+
+
+def test_addresses_without_number_and_street(spark):
+    rows = [("S1-1", "n", "Pike House, Main Street, Dover", "UK"), ("S1-2", "n", "pike house main st dover", "UK"), ("S1-3", "n", "PO Box 12, Dover", "UK"), ("S1-4", "n", "P.O. box 12, dover", "UK"), ("S1-5", "n", "PO Box 13, Dover", "UK"), ("S1-6", "n", "Mill House, Church Lane, Lewes", "UK"), ("S1-7", "n", "!!", "UK")]
+    assert {tuple(r) for r in places.same_place_pairs(records(spark, rows)).collect()} == {("S1-1", "S1-2"), ("S1-3", "S1-4")}
+
+
 def test_slips_cover_streets_spelt_alike():
     rng = random.Random(3)
     for _ in range(4000):
