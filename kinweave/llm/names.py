@@ -119,8 +119,8 @@ def _abbreviates(word: str, full: str) -> bool:
     return vowels * 3 <= len(word) and subsequence(word, full)
 
 
-def parse_name(text: str | None) -> Name | None:
-    """The parts of a name; null for a missing one. Where one name trades as another, the last one counts."""
+def name_words(text: str | None) -> list[str] | None:
+    """The words of a name in order, slips with digits mended; null for a missing one. Where one name trades as another, the last one counts."""
     if text is None:
         return None
     t = fold(text)
@@ -134,10 +134,19 @@ def parse_name(text: str | None) -> Name | None:
     t = re.sub(r"(?<=[a-z])1|1(?=[a-z])", "l", t)
     t = re.sub(r"\binfo[ -]?tech\b", "infotech", t)
     t = re.sub(r"\bet\b|\band\b|&|\+", " ", t)
-    words = [w for w in re.split(r"[^a-z]+", t) if w]
+    return [w for w in re.split(r"[^a-z]+", t) if w]
+
+
+def parse_name(text: str | None, trades: frozenset[str] = frozenset()) -> Name | None:
+    """The parts of a name; null for a missing one. ``trades`` are kinds of business beside those listed."""
+    words = name_words(text)
+    if words is None:
+        return None
     core, given, trade, further, short = [], "", [], [], []
     for w in words:
         kind, full = word_kind(w)
+        if kind == "core" and w in trades and core:
+            kind, full = "trade", w
         if kind == "trade":
             trade.append(full)
         elif kind == "further":

@@ -10,20 +10,38 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .components import connected_components
-from .names import block_keys, name_key, name_of, parse_name, same_name
-from .pairs import pairs_within
+from .names import LEGAL, block_keys, name_key, name_of, name_words, parse_name, same_name, word_kind
+from .pairs import meet, pairs_within
 
 PARSED = "raw string, key string, trade string, blocks array<struct<block:string,whole:boolean>>"
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+TRADE_SHARE = 0.002  #: least share of the distinct names that a kind of business ends
+TRADE_SPREAD = 0.5  #: least number of different words before it, in proportion to those names
+
+
+def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for raw in b["raw"]:
-            n = parse_name(raw)
-            if n is not None:
-                rows.append((raw, name_key(n), " ".join(n.trade), [{"block": k, "whole": w} for k, w in block_keys(n)]))
-        yield pd.DataFrame(rows, columns=["raw", "key", "trade", "blocks"])
+            words = [w for w in name_words(raw) or () if w not in LEGAL]
+            if len(words) > 1 and len(words[-1]) > 3:
+                rows.append((words[-1], words[-2]))
+        yield pd.DataFrame(rows, columns=["word", "before"])
+
+
+def learned_trades(names: DataFrame) -> frozenset[str]:
+    """Kinds of business that no list holds, told by where they stand: words that end many names, after ever other words.
+
+    Every name has one ending, so at most one word for each ``TRADE_SHARE`` comes to the driver; names in rare endings keep them
+    as words of the name. At least twenty names have to end in a word.
+    """
+    distinct = names.select("raw").where("raw is not null").distinct()
+    ends = distinct.mapInPandas(_endings, "word string, before string")
+    n = ends.groupBy("word", "before").agg(F.count(F.lit(1)).alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("spread"))
+    total = distinct.agg(F.count(F.lit(1)).alias("total"))
+    found = n.crossJoin(F.broadcast(total)).where((F.col("n") >= F.greatest(F.lit(20), F.col("total") * TRADE_SHARE)) & (F.col("spread") >= F.col("n") * TRADE_SPREAD))  # one row
+    return frozenset(r["word"] for r in found.select("word").collect() if word_kind(r["word"])[0] == "core")
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,7 +51,18 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def parsed_names(names: DataFrame) -> DataFrame:
     """``raw, key, trade, blocks`` for each distinct name; null, blank and placeholder names are left out."""
-    return names.select(F.col("raw")).where("raw is not null").distinct().mapInPandas(_parse, PARSED)
+    trades = learned_trades(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for raw in b["raw"]:
+                n = parse_name(raw, trades)
+                if n is not None:
+                    rows.append((raw, name_key(n), " ".join(n.trade), [{"block": k, "whole": w} for k, w in block_keys(n)]))
+            yield pd.DataFrame(rows, columns=["raw", "key", "trade", "blocks"])
+
+    return names.select(F.col("raw")).where("raw is not null").distinct().mapInPandas(run, PARSED)
 
 
 #: Kinds of business that a short form may stand for, as one. Fixed values.
@@ -45,7 +74,7 @@ def accepted_pairs(keys: DataFrame) -> DataFrame:
 
     Equal names have been joined into one key before, so copies make no pairs. Kinds of business that agree share a word or
     a family, so a block holds names of one kind; names without a kind meet all names of their block in a join of
-    their own. Names in two words meet only names in one piece under the codes of their ends.
+    their own. Names in two words meet only names in one piece under the codes of their ends. A block with many names is dealt into shares.
     """
     spread = keys.select("key", "trade", F.explode("blocks").alias("b")).select("key", "trade", "b.block", "b.whole")
     family = F.create_map(*(F.lit(x) for kv in FAMILIES.items() for x in kv))
@@ -53,10 +82,11 @@ def accepted_pairs(keys: DataFrame) -> DataFrame:
     firm = spread.where("trade <> ''").select("key", "block", "whole", F.explode(kinds).alias("kind"))
     left, right = (firm.select(F.col("key").alias(f"key_{i}"), "block", "kind", F.col("whole").alias(f"w{i}")) for i in (1, 2))
     met = "(substring(block, 1, 1) in ('w', 'o') or w1 or w2)"
-    one = left.join(right, ["block", "kind"]).where(f"key_1 < key_2 and {met}").select("key_1", "key_2")
+    spot = lambda df: df.withColumn("spot", F.struct("block", "kind")).drop("kind")
+    one = meet(spot(left), spot(right).drop("block"), "spot").where(f"key_1 < key_2 and {met}").select("key_1", "key_2")
     bare = spread.where("trade = ''").select(F.col("key").alias("a"), "block", F.col("whole").alias("w1"))
     every = spread.select(F.col("key").alias("b"), "block", F.col("whole").alias("w2"))
-    two = bare.join(every, "block").where(f"a <> b and {met}").select(F.least("a", "b").alias("key_1"), F.greatest("a", "b").alias("key_2"))
+    two = meet(bare, every, "block").where(f"a <> b and {met}").select(F.least("a", "b").alias("key_1"), F.greatest("a", "b").alias("key_2"))
     return one.union(two).distinct().mapInPandas(_verify, "key_1 string, key_2 string")
 
 

@@ -121,6 +121,14 @@ def test_variant_pairs(spark):
     assert variants.variant_pairs(records(spark, [])).count() == 0
 
 
+def test_trades_are_learned_from_where_they_stand(spark):
+    word = lambda k: "".join("bdfglmnprstvz"[(k * p + q) % 13] + "aeiou"[(k // 13 + k + q) % 5] for p, q in ((1, 0), (3, 2), (5, 4))) + "t"
+    rows = [(f"S1-{k:03}", f"{word(k).title()} {word(k + 70).title()} {'Winery' if k % 2 else 'Foods'}", "", "US") for k in range(60)] + [("S1-900", f"{word(1)} {word(71)} foods", "", "US"), ("S1-901", f"{word(1)} {word(71)} winery llc", "", "US")]
+    df = records(spark, rows)
+    assert variants.learned_trades(df.selectExpr("business_name as raw")) == {"winery"}
+    assert {tuple(r) for r in variants.variant_pairs(df).collect()} == {("S1-001", "S1-901")}
+
+
 PLACES = [("8182 S. Nertubat STREET, Apt 9C, null, Rerlodar Springs, Maine 41915", "Rerlodar Springs, ME 41915, 8182 South Nertubat St, #9C, USA"), ("Flat 5, 4758 Surletin Colony, Pirhepur, Punjab 325550", "4758 surletin clny near sinmurar temple pirhepur punjab"), ("N° 2150 Imp Rorfédox, 12631 Lallir Saint-Orme, Nord", "2150 Impasse Rorfedox, 12631 Lallir Saint-Orme, Hauts-de-France")]
 ELSEWHERE = [("8182 Nertubat Street, Salwol", "8183 Nertubat Street, Salwol"), ("8182 Nertubat Street, Salwol", "8182 Nertubat Road, Salwol"), ("8182 Nertubat Street, Suite 5, Salwol", "8182 Nertubat Street, Suite 6, Salwol"), ("8182 Nertubat Street, Salwol, TX 10000", "8182 Nertubat Street, Birga, TX 10007"), ("8182 Nertubat Street, Salwol", "8182 Gilmopok Street, Salwol")]
 
