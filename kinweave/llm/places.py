@@ -133,8 +133,7 @@ def crowd_pairs(near: DataFrame, keys: DataFrame) -> DataFrame:
 
 def matching_keys(parsed: DataFrame) -> DataFrame:
     """``key_1, key_2`` of different parsed addresses of one place."""
-    loose = parsed.where("startswith(key, '~')").groupBy(F.col("key").alias("id"), "number").agg(F.first("grams").alias("grams"))
-    by_cosine = prefix_candidates(loose, LOOSE).select(F.col("id_1").alias("key_1"), F.col("id_2").alias("key_2"))
+    loose = cut(parsed.where("startswith(key, '~')").groupBy(F.col("key").alias("id"), "number").agg(F.first("grams").alias("grams")))
     named = parsed.where("not startswith(key, '~')")
     streets = named.select("number", "grams", "key", F.split("key", "/")[2].alias("street")).withColumn("id", F.concat_ws("/", "number", "street"))
     distinct = streets.groupBy("id", "number", "street").agg(F.first("grams").alias("grams"), F.count_distinct("key").alias("n"))
@@ -142,12 +141,15 @@ def matching_keys(parsed: DataFrame) -> DataFrame:
     near = cut(near.union(distinct.select(F.col("id").alias("id_1"), F.col("id").alias("id_2"))))
     keys = streets.select("id", "key").distinct()
     crowded = distinct.where(F.col("n") > CROWD).select("id")
-    busy = near.join(crowded.withColumnRenamed("id", "id_1"), "id_1", "left_semi").union(near.join(crowded.withColumnRenamed("id", "id_2"), "id_2", "left_semi").select("id_1", "id_2")).distinct()
+    busy = cut(near.join(crowded.withColumnRenamed("id", "id_1"), "id_1", "left_semi").union(near.join(crowded.withColumnRenamed("id", "id_2"), "id_2", "left_semi").select("id_1", "id_2")).distinct())
     quiet = near.join(busy, ["id_1", "id_2"], "left_anti")
     all_pairs = quiet.join(keys.select(F.col("id").alias("id_1"), F.col("key").alias("a")), "id_1").join(keys.select(F.col("id").alias("id_2"), F.col("key").alias("b")), "id_2").select("a", "b")
-    ends = busy.select(F.col("id_1").alias("id")).union(busy.select("id_2")).distinct()
-    pairs = all_pairs.union(crowd_pairs(busy, keys.join(ends, "id", "left_semi"))).where("a <> b").select(F.least("a", "b").alias("key_1"), F.greatest("a", "b").alias("key_2")).distinct()
-    return pairs.mapInPandas(_verify, "key_1 string, key_2 string").union(by_cosine)
+    if not busy.isEmpty():  # a plan for what is not there would only burden the driver
+        ends = busy.select(F.col("id_1").alias("id")).union(busy.select("id_2")).distinct()
+        all_pairs = cut(all_pairs).union(cut(crowd_pairs(busy, keys.join(ends, "id", "left_semi"))))
+    pairs = all_pairs.where("a <> b").select(F.least("a", "b").alias("key_1"), F.greatest("a", "b").alias("key_2")).distinct()
+    found = cut(pairs.mapInPandas(_verify, "key_1 string, key_2 string"))
+    return found if loose.isEmpty() else found.union(prefix_candidates(loose, LOOSE).select(F.col("id_1").alias("key_1"), F.col("id_2").alias("key_2")))
 
 
 def same_place_pairs(records: DataFrame) -> DataFrame:
