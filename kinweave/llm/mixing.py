@@ -85,7 +85,7 @@ def plan_source(counts: dict[int, int], budget: int, max_repeats: int, window: i
     """How often documents of each length are taken in all, so that the sum is the nearest to ``budget`` that is not above it.
 
     A length may be taken as often as it has documents, times ``max_repeats``. All lengths are taken in proportion down to a
-    window, and a bounded knapsack over what is left fills the rest. Whether no other choice comes nearer is known where the sum
+    window, what one length has too few documents for being carried over to the next, and a bounded knapsack over what is left fills the rest. Whether no other choice comes nearer is known where the sum
     equals a bound that none exceeds; otherwise the window grows eightfold, at last to the whole budget, where the search
     covers every choice. So the result is the optimum at every size; mostly the first window reaches the budget itself.
     """
@@ -98,8 +98,11 @@ def plan_source(counts: dict[int, int], budget: int, max_repeats: int, window: i
     best, bound = {}, _bound(list(room.items()), budget)
     total = lambda taken: sum(k * n for k, n in taken.items())
     while True:
-        share = max(0, budget - window) / size
-        taken = {k: int(n * share) for k, n in room.items()}
+        taken, sure, seen, given = {}, max(0, budget - window), 0, 0
+        for k in sorted(room, reverse=True):  # from the longest on, so that what is rounded never exceeds the share
+            seen += room[k]
+            taken[k] = seen * sure // size - given
+            given += taken[k]
         rest = budget - total(taken)
         for k, n in bounded_knapsack([(k, n - taken[k]) for k, n in room.items()], rest).items():
             taken[k] += n

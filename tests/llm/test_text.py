@@ -127,6 +127,13 @@ def test_budgets_are_met_by_documents_longer_than_any_window():
         assert used == max(x for x in (a * 37 + (budget - a * 37) // 100 * 100 for a in range(4)) if x <= budget)
 
 
+def test_lengths_are_taken_in_proportion():
+    counts = {k: 1 for k in range(1000, 5000)}  # no length has a second document
+    for share in (0.2, 0.5, 0.8):
+        taken = mixing.plan_source(counts, int(sum(counts) * share), 1)
+        assert len(taken) == pytest.approx(4000 * share, rel=0.02) and sum(k for k in taken if k >= 4000) == pytest.approx(share * sum(range(4000, 5000)), abs=mixing.WINDOW + 5000)  # the last window is filled as it fits
+
+
 def test_mixture(spark):
     docs = [(i, "word " * (1 + i % 7), "A" if i % 3 else " a ") for i in range(300)] + [(1000 + i, "tok " * 5, "b") for i in range(10)] + [(2000, None, "b"), (2001, "", "a"), (2002, "x", None), (2003, "x", "zzz"), (1, "word " * 2, "A")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
