@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -281,3 +282,12 @@ def test_links_of_records_without_a_name(spark):
     ]
     got = {(r["s1_id"], r["cand_id"]) for r in linkage.linked(records(spark, s1), records(spark, s2)).collect()}
     assert got == {(f"S1-{a:09}", f"S2-{b:09}") for a, b in ((1, 1), (1, 2), (7, 3), (2, 4))}
+
+
+def test_edits_of_long_texts_take_no_table():
+    rng = random.Random(3)
+    a = "".join(rng.choice("abcdefgh") for _ in range(4000))
+    b = a[:700] + a[701:2000] + a[2001] + a[2000] + a[2002:] + "x"
+    began = time.process_time()
+    assert edits(a, b, 10) == 3
+    assert time.process_time() - began < 1
