@@ -111,24 +111,27 @@ def _town_slips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["id", "key", "kind", "token"])
 
 
-def crowd_pairs(near: DataFrame, keys: DataFrame) -> DataFrame:
-    """``a, b``: pairs of addresses of ``near`` streets, for streets with any number of addresses.
+def crowd_pairs(near: DataFrame, keys: DataFrame) -> Iterator[DataFrame]:
+    """``a, b``: pairs of addresses of ``near`` streets, for streets with any number of addresses, in parts that share no plan.
 
     Addresses that both name a town share a slip of one of its words, and those that both have a postcode but not both a town share that. Where
     one lacks the town and one, maybe the other, the postcode, nothing tells them apart, so all of these meet; they are one place.
     """
-    spread = keys.mapInPandas(_town_slips, "id string, key string, kind string, token string")
+    spread = cut(keys.mapInPandas(_town_slips, "id string, key string, kind string, token string"))
     left = near.join(spread.select(F.col("id").alias("id_1"), F.col("key").alias("a"), "token", F.col("kind").alias("ka")), "id_1").withColumnRenamed("id_2", "id")
     right = spread.select("id", F.col("key").alias("b"), "token", F.col("kind").alias("kb"))
     spot = lambda df: df.withColumn("spot", F.xxhash64("id", "token")).drop("id", "token")
-    told = meet(spot(left.where("token is not null").select("id", "a", "token")), spot(right.where("token is not null").select("id", "b", "token")), "spot").select("a", "b")
+    yield meet(spot(left.where("token is not null").select("id", "a", "token")), spot(right.where("token is not null").select("id", "b", "token")), "spot").select("a", "b")
     once = lambda df, key, kind: df.select("id", key, kind).distinct()
-    x, y = once(left, "a", "ka"), once(right, "b", "kb")
-    untold = None
+    x, y = cut(once(left, "a", "ka")), cut(once(right, "b", "kb"))
     for p, q in (("ka = 'n'", "true"), ("ka <> 'n'", "kb = 'n'"), ("ka = 't'", "kb = 'p'"), ("ka = 'p'", "kb = 't'")):
-        part = meet(x.where(p), y.where(q), "id").select("a", "b")
-        untold = part if untold is None else untold.union(part)
-    return told.union(untold)
+        yield meet(x.where(p), y.where(q), "id").select("a", "b")
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    """``key_1, key_2`` of those pairs of addresses that mean the same place, each once."""
+    each = pairs.where("a <> b").select(F.least("a", "b").alias("key_1"), F.greatest("a", "b").alias("key_2")).distinct()
+    return cut(each.mapInPandas(_verify, "key_1 string, key_2 string"))
 
 
 def matching_keys(parsed: DataFrame) -> DataFrame:
@@ -144,12 +147,13 @@ def matching_keys(parsed: DataFrame) -> DataFrame:
     busy = cut(near.join(crowded.withColumnRenamed("id", "id_1"), "id_1", "left_semi").union(near.join(crowded.withColumnRenamed("id", "id_2"), "id_2", "left_semi").select("id_1", "id_2")).distinct())
     quiet = near.join(busy, ["id_1", "id_2"], "left_anti")
     all_pairs = quiet.join(keys.select(F.col("id").alias("id_1"), F.col("key").alias("a")), "id_1").join(keys.select(F.col("id").alias("id_2"), F.col("key").alias("b")), "id_2").select("a", "b")
-    if not busy.isEmpty():  # a plan for what is not there would only burden the driver
+    found = verified(all_pairs)
+    if not busy.isEmpty():  # a plan for what is not there would only burden the driver, as would one plan for all parts
         ends = busy.select(F.col("id_1").alias("id")).union(busy.select("id_2")).distinct()
-        all_pairs = cut(all_pairs).union(cut(crowd_pairs(busy, keys.join(ends, "id", "left_semi"))))
-    pairs = all_pairs.where("a <> b").select(F.least("a", "b").alias("key_1"), F.greatest("a", "b").alias("key_2")).distinct()
-    found = cut(pairs.mapInPandas(_verify, "key_1 string, key_2 string"))
-    return found if loose.isEmpty() else found.union(prefix_candidates(loose, LOOSE).select(F.col("id_1").alias("key_1"), F.col("id_2").alias("key_2")))
+        for part in crowd_pairs(busy, keys.join(ends, "id", "left_semi")):
+            found = found.union(verified(part))
+        found = cut(found.distinct())
+    return found if loose.isEmpty() else found.union(cut(prefix_candidates(loose, LOOSE).select(F.col("id_1").alias("key_1"), F.col("id_2").alias("key_2"))))
 
 
 def same_place_pairs(records: DataFrame) -> DataFrame:

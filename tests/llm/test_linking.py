@@ -291,3 +291,13 @@ def test_edits_of_long_texts_take_no_table():
     began = time.process_time()
     assert edits(a, b, 10) == 3
     assert time.process_time() - began < 1
+
+
+def test_crowds_are_paired_in_plans_of_bounded_size(spark):
+    keys = spark.createDataFrame([("1/elm", f"1//elm/street//{t}//") for t in ("salem", "salen", "dover", "")], "id string, key string")
+    near = spark.createDataFrame([("1/elm", "1/elm")], "id_1 string, id_2 string")
+    parts = list(places.crowd_pairs(near, keys))
+    assert {p.columns == ["a", "b"] for p in parts} == {True}
+    assert max(p._jdf.queryExecution().executedPlan().toString().count("Exchange ") for p in parts) < 15
+    towns = {(r["a"].split("/")[5], r["b"].split("/")[5]) for p in parts for r in places.verified(p).select(F.col("key_1").alias("a"), F.col("key_2").alias("b")).collect()}
+    assert {tuple(sorted(t)) for t in towns} == {("salem", "salen"), ("", "salem"), ("", "salen"), ("", "dover")}
