@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable, Iterator
+from urllib.parse import unquote, urlparse
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut, shuffle_partitions
+from ..plans.lineage import checkpoint_dir, cut, shuffle_partitions
 
 
 def search_text(name: str = "name_norm", address: str = "address_norm") -> Column:
@@ -46,69 +53,119 @@ def unit_vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(norms, ["country", "entity_id"]).select("country", "entity_id", "gram", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def packed_vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """``country, entity_id, grams, weights``: the unit vectors with a record's grams, by number, in one row."""
-    raw = counts.join(idf, "gram").select("country", "entity_id", F.struct("number", ((1 + F.log("tf")) * F.col("idf")).alias("w")).alias("x"))
-    rows = raw.groupBy("country", "entity_id").agg(F.collect_list("x").alias("x"), F.sqrt(F.sum(F.col("x.w") * F.col("x.w"))).alias("norm"))
-    return rows.select("country", "entity_id", F.col("x.number").alias("grams"), F.transform(F.col("x.w"), lambda w: w / F.col("norm")).alias("weights"))
+def blocked_texts(records: DataFrame, text: Column, size: int) -> DataFrame:
+    """``country, block, n_blocks, entity_id, text``: the records of a country dealt into blocks of about ``size`` by a hash of their ids."""
+    rows = records.select("country", "entity_id", text.alias("text"))
+    numbers = rows.groupBy("country").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("n_blocks"))  # one row a country
+    return rows.join(F.broadcast(numbers), "country").withColumn("block", F.pmod(F.xxhash64("entity_id"), F.col("n_blocks")).cast("int"))
+
 
+def packed_vectors(texts: DataFrame, idf: DataFrame, n: int = 3) -> DataFrame:
+    """``country, block, entity_id, grams, tfs, idfs, norm``: a record's grams, by number, in one row; parted by country and block.
 
-def _flat(side: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, and for every gram of every row its number, its weight and the row."""
-    ids, grams, weights = (side.column(c).combine_chunks() for c in ("entity_id", "grams", "weights"))
-    lengths = np.diff(np.asarray(grams.offsets))
-    return ids, np.asarray(grams.flatten()), np.asarray(weights.flatten()), np.repeat(np.arange(len(ids)), lengths)
+    Only the texts are shuffled. ``idf`` has a row for each gram of the alphabet in use, not for each record, and goes to all tasks.
+    """
+    by = ("country", "block", "entity_id")
+    parted = texts.select(*by, "text").repartition(shuffle_partitions(texts.sparkSession), "country", "block")
+    tf = parted.select(*by, F.explode(word_grams(F.col("text"), n)).alias("gram")).groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("tf"))
+    w = (1 + F.log("tf")) * F.col("idf")
+    rows = tf.join(F.broadcast(idf), "gram").groupBy(*by).agg(F.collect_list(F.struct("number", "tf", "idf")).alias("x"), F.sqrt(F.sum(w * w)).alias("norm"))
+    return rows.select(*by, F.col("x.number").alias("grams"), F.col("x.tf").alias("tfs"), F.col("x.idf").alias("idfs"), "norm")
 
 
 SLACK = 2e-6  #: scores are compared on six decimals later, so what ties with the k-th stays
 CHUNK = 1 << 21  #: products, or scores, that are held at once
+LISTS = {"known": "<i8", "idfs": "<f8", "ends": "<i8", "rows": "<i4", "tfs": "<i4", "norms": "<f8"}  #: of a block of targets, as bytes
+
+
+def _flat(side: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and lengths of the vectors, and for every gram of every row its number, count, rarity and the row."""
+    ids, grams, tfs, idfs, norms = (side.column(c).combine_chunks() for c in ("entity_id", "grams", "tfs", "idfs", "norm"))
+    rows = np.repeat(np.arange(len(ids)), np.diff(np.asarray(grams.offsets)))
+    return ids, np.asarray(norms), np.asarray(grams.flatten()), np.asarray(tfs.flatten()), np.asarray(idfs.flatten()), rows
+
+
+def posting_lists(targets: pa.Table) -> pa.Table:
+    """One row for a block of targets: its ids, and for each gram which of them have it how often."""
+    ids, norms, grams, tfs, idfs, rows = _flat(targets)
+    order = np.argsort(grams, kind="stable")
+    known, starts = np.unique(grams[order], return_index=True)
+    lists = {"known": known, "idfs": idfs[order][starts], "ends": np.append(starts[1:], len(order)), "rows": rows[order], "tfs": tfs[order], "norms": norms}
+    return pa.table({"country": targets.column("country").slice(0, 1).combine_chunks(), "ids": pa.array([ids.to_pylist()], pa.list_(pa.string())), **{k: pa.array([lists[k].astype(t).tobytes()], pa.binary()) for k, t in LISTS.items()}})
 
 
-def best_of_cell(queries: pa.Table, targets: pa.Table, k: int) -> pa.Table:
-    """``s1_id, cand_id, score``: for each query the ``k`` nearest targets of the cell, with all that tie with the last.
+POSTINGS = "country string, ids array<string>, " + ", ".join(f"{k} binary" for k in LISTS)
 
-    The targets are turned into posting lists. The products of a run of queries are added up in one array of queries by targets.
+
+def _stored(folder: str, country: str) -> Iterator[dict]:
+    """The blocks of a country from the shared folder, one at a time."""
+    where = (fs.LocalFileSystem(), unquote(urlparse(folder).path)) if folder.startswith(("/", "file:")) else fs.FileSystem.from_uri(folder)
+    files = ds.dataset(where[1], filesystem=where[0], format="parquet")
+    for batch in files.to_batches(filter=pc.field("country") == country, batch_size=1, batch_readahead=1, fragment_readahead=1):
+        for i in range(batch.num_rows):
+            yield {"ids": batch.column("ids").slice(i, 1).flatten(), **{k: np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in LISTS.items()}}
+
+
+def best_of_blocks(queries: pa.Table, blocks: Iterable[dict], k: int) -> pa.Table:
+    """``s1_id, cand_id, score``: for each query the ``k`` nearest targets of all blocks, with all that tie with the last.
+
+    The products of a run of queries with a block are added up in one array of queries by targets. What the blocks so far
+    have given stays, as far as it is among the best of them; a block only adds what is not below that.
     """
-    t_ids, t_grams, t_weights, t_rows = _flat(targets)
-    q_ids, q_grams, q_weights, q_rows = _flat(queries)
-    order = np.argsort(t_grams, kind="stable")
-    known, starts = np.unique(t_grams[order], return_index=True)
-    ends = np.append(starts[1:], len(order))
-    t_rows, t_weights = t_rows[order], t_weights[order]
-    at = np.minimum(np.searchsorted(known, q_grams), max(len(known) - 1, 0))
-    hit = known[at] == q_grams if len(known) else np.zeros(len(q_grams), bool)
-    at, q_weights, q_rows = at[hit], q_weights[hit], q_rows[hit]
-    first, number = starts[at], ends[at] - starts[at]
-    per_query = np.bincount(q_rows, weights=number, minlength=len(q_ids))
-    edges, n = np.searchsorted(q_rows, np.arange(len(q_ids) + 1)), len(t_ids)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    begin = 0
-    while begin < len(q_ids):
-        end, products = begin, 0.0
-        while end < len(q_ids) and (end == begin or (products + per_query[end] <= CHUNK and (end + 1 - begin) * n <= CHUNK)):
-            products += per_query[end]
-            end += 1
-        part = slice(edges[begin], edges[end])
-        many = number[part]
-        total = int(many.sum())
-        if total:
-            where = np.arange(total) + np.repeat(first[part] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
-            cell = np.repeat((q_rows[part] - begin) * n, many) + t_rows[where]
-            scores = np.bincount(cell, weights=np.repeat(q_weights[part], many) * t_weights[where], minlength=(end - begin) * n).reshape(end - begin, n)
-            least = np.partition(scores, n - k, axis=1)[:, n - k] - SLACK if n > k else np.zeros(end - begin)
-            row, col = np.nonzero((scores > 0) & (scores >= least[:, None]))
-            out.append((row + begin, col, scores[row, col]))
-        begin = end
-    rows, cols, scores = (np.concatenate([o[i] for o in out]) if out else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, np.float64)))
-    return pa.table({"s1_id": q_ids.take(pa.array(rows)), "cand_id": t_ids.take(pa.array(cols)), "score": pa.array(scores)})
+    q_ids, q_norms, q_grams, q_tfs, q_idfs, q_rows = _flat(queries)
+    q_weights = (1 + np.log(q_tfs)) * q_idfs / q_norms[q_rows]
+    edges = np.searchsorted(q_rows, np.arange(len(q_ids) + 1))
+    rows, scores, cands = np.empty(0, np.int64), np.empty(0), pa.array([], pa.string())
+    floor = np.full(len(q_ids), -np.inf)
+    for b in blocks:
+        known, t_rows, n = b["known"], b["rows"], len(b["ids"])
+        starts = np.append(0, b["ends"][:-1])
+        lengths = b["ends"] - starts
+        t_weights = (1 + np.log(b["tfs"])) * np.repeat(b["idfs"], lengths) / b["norms"][t_rows]
+        at = np.minimum(np.searchsorted(known, q_grams), len(known) - 1)
+        number = np.where(known[at] == q_grams, lengths[at], 0)
+        per_query = np.bincount(q_rows, weights=number, minlength=len(q_ids))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        begin = 0
+        while begin < len(q_ids):
+            end, products = begin, 0.0
+            while end < len(q_ids) and (end == begin or (products + per_query[end] <= CHUNK and (end + 1 - begin) * n <= CHUNK)):
+                products += per_query[end]
+                end += 1
+            part = slice(edges[begin], edges[end])
+            many = number[part]
+            total = int(many.sum())
+            if total:
+                where = np.arange(total) + np.repeat(starts[at[part]] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+                cell = np.repeat((q_rows[part] - begin) * n, many) + t_rows[where]
+                found = np.bincount(cell, weights=np.repeat(q_weights[part], many) * t_weights[where], minlength=(end - begin) * n).reshape(end - begin, n)
+                least = floor[begin:end]
+                if n > k and np.isneginf(least).any():
+                    least = np.maximum(least, np.partition(found, n - k, axis=1)[:, n - k] - SLACK)
+                row, col = np.nonzero((found > 0) & (found >= least[:, None]))
+                out.append((row + begin, col, found[row, col]))
+            begin = end
+        if out:
+            new_rows, new_cols, new_scores = (np.concatenate([o[i] for o in out]) for i in range(3))
+            rows, scores = np.concatenate([rows, new_rows]), np.concatenate([scores, new_scores])
+            cands = pa.concat_arrays([cands, b["ids"].take(pa.array(new_cols))])
+            order = np.lexsort((-scores, rows))
+            rows, scores = rows[order], scores[order]
+            last = np.searchsorted(rows, np.arange(len(q_ids))) + k - 1  # where a query has its k-th best
+            full = last < np.searchsorted(rows, np.arange(len(q_ids)), side="right")
+            floor[full] = scores[last[full]] - SLACK
+            kept = scores >= floor[rows]
+            rows, scores, cands = rows[kept], scores[kept], cands.take(pa.array(order[kept]))
+    return pa.table({"s1_id": q_ids.take(pa.array(rows)), "cand_id": cands, "score": pa.array(scores)})
 
 
 class TrigramBlocker:
     """Fitted on targets, queried with records; scores are cosines, ranked on six decimals and then by id.
 
-    Records and targets of a country are dealt into blocks by a hash of their ids; each pair of blocks is a cell of bounded size that one
-    task scores by itself, so a country, or a gram, that holds most of the rows only makes more cells. A cell keeps
-    the ``k`` best of each record, and a window ranks what the cells of a record have kept. No pair of records is shuffled before that.
+    Records and targets of a country are dealt into blocks of bounded size by a hash of their ids. A block of targets is stored once, as posting lists in a
+    folder beside the checkpoints; a task scores a block of records against the stored blocks of the country one after the other and keeps
+    the ``k`` best of each record. So neither side is copied for the other, and no pair of records is shuffled
+    but the best. A window ranks these, as an id may stand in several countries.
     """
 
     def __init__(self, max_df: float = 0.05, n: int = 3, text: Column | None = None, target_block: int = 25_000, query_block: int = 4_000):
@@ -116,9 +173,12 @@ class TrigramBlocker:
         self.text = search_text() if text is None else text
 
     def fit(self, targets: DataFrame) -> TrigramBlocker:
-        self.counts = cut(gram_counts(targets, self.text, self.n))
+        self.counts = gram_counts(targets, self.text, self.n)
         self.idf = cut(inverse_frequencies(self.counts, targets.count(), self.max_df).withColumn("number", F.monotonically_increasing_id()))
-        self.targets = cut(packed_vectors(self.counts, self.idf))
+        self.folder = f"{checkpoint_dir(targets.sparkSession)}/blocks-{uuid.uuid4().hex}"
+        packed = packed_vectors(blocked_texts(targets, self.text, self.target_block), self.idf, self.n)
+        lists = packed.groupBy("country", "block").applyInArrow(posting_lists, POSTINGS)
+        lists.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(self.folder)
         return self
 
     @property
@@ -127,17 +187,13 @@ class TrigramBlocker:
 
     def query(self, records: DataFrame, k: int = 20) -> DataFrame:
         """``s1_id, cand_id, score, rank`` with rank from 0; records of a country without targets have none."""
-        queries = cut(packed_vectors(gram_counts(records, self.text, self.n), self.idf))
-        cores = records.sparkSession.sparkContext.defaultParallelism
-        query_block = min(self.query_block, max(100, queries.count() // (2 * cores)))  # enough cells for all cores; the result is the same
-        sides = ((queries, "q", query_block), (self.targets, "t", self.target_block))
-        numbers = [s.groupBy("country").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(f"{x}_blocks")) for s, x, size in sides]
-        blocks = numbers[0].join(numbers[1], "country")  # one row a country
-        block = lambda x: F.pmod(F.xxhash64("entity_id"), F.col(f"{x}_blocks")).cast("int").alias(f"{x}_block")
-        every = lambda x: F.explode(F.sequence(F.lit(0), F.col(f"{x}_blocks") - 1)).alias(f"{x}_block")
-        columns = ("country", "entity_id", "grams", "weights")
-        left = queries.join(blocks, "country").select(*columns, block("q"), every("t")).groupBy("country", "q_block", "t_block")
-        right = self.targets.join(blocks, "country").select(*columns, every("q"), block("t")).groupBy("country", "q_block", "t_block")
-        score = left.cogroup(right).applyInArrow(lambda q, t: best_of_cell(q, t, k), "s1_id string, cand_id string, score double")
+        cores, folder = records.sparkSession.sparkContext.defaultParallelism, self.folder
+        query_block = min(self.query_block, max(100, records.count() // (2 * cores)))  # enough blocks for all cores; the result is the same
+        queries = packed_vectors(blocked_texts(records, self.text, query_block), self.idf, self.n)
+
+        def best(group: pa.Table) -> pa.Table:
+            return best_of_blocks(group, _stored(folder, group.column("country")[0].as_py()), k)
+
+        score = queries.groupBy("country", "block").applyInArrow(best, "s1_id string, cand_id string, score double")
         order = Window.partitionBy("s1_id").orderBy(F.round("score", 6).desc(), "cand_id")
         return score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1).cast("int"))

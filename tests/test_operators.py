@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -119,3 +120,19 @@ def test_validator(spark, tmp_path):
     (out / "matching_results.tsv").write_text("a,b\n")
     assert "commas" in validate.validate_folder(spark, str(out), str(tmp_path))[0][0]
     assert validate.check_file(spark, str(tmp_path / "none"), "matches")
+
+
+def test_blocks_of_targets_are_stored_once(spark):
+    from kinweave.operators import blocking
+
+    rng = random.Random(5)
+    words = ["acme", "zebra", "elm", "oak", "foods", "tools", "widget", "north", "river", "stone"]
+    rows = lambda side, n: [(f"{side}-{i}", " ".join(rng.sample(words, 3)), rng.choice(words), rng.choice(("US", "US", "France", "")), "") for i in range(n)]
+    targets, records = spark.createDataFrame(rows("S2", 60), REC), spark.createDataFrame(rows("S1", 40), REC)
+    get = lambda b: {(r["s1_id"], r["cand_id"], round(r["score"], 6), r["rank"]) for r in b.query(records, 3).collect()}
+    whole, dealt = TrigramBlocker(max_df=1.0).fit(targets), TrigramBlocker(max_df=1.0, target_block=5, query_block=7).fit(targets)
+    found = get(dealt)
+    assert found == get(whole) and len({f[0] for f in found}) == 40
+    ids = [i for country in ("US", "France", "") for b in blocking._stored(dealt.folder, country) for i in b["ids"].to_pylist()]
+    assert sorted(ids) == sorted(r["entity_id"] for r in targets.collect())
+    assert "CoGroup" not in dealt.query(records, 3)._jdf.queryExecution().toString()  # no copies for the cells of records by targets
