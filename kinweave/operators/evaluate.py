@@ -43,10 +43,14 @@ def macro_score(truth: DataFrame, pairs: DataFrame) -> DataFrame:
 def recall_at(truth: DataFrame, candidates: DataFrame, ks: Iterable[int]) -> DataFrame:
     """``k, recall`` of the best ``k`` candidates: hits over true pairs, 1 if there are none. One pass for all ``k``."""
     ks = sorted(set(ks))
-    pairs = truth.select("s1_id", F.explode("ids").alias("cand_id"))
-    best = candidates.groupBy("s1_id", "cand_id").agg(F.min("rank").alias("rank"))
-    hit = pairs.join(best, ["s1_id", "cand_id"], "left")
-    sums = hit.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("rank") < k).alias(f"h{k}") for k in ks))
+    lists = truth.where("ids is not null").groupBy("s1_id").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    total = lists.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n"))
+    # joined by record, as candidates lie after they are ranked; most of them are gone before anything else
+    times = F.size(F.filter("ids", lambda x: x == F.col("cand_id")))
+    hit = candidates.select("s1_id", "cand_id", "rank").join(lists, "s1_id").select("s1_id", "cand_id", "rank", times.alias("times")).where("times > 0")
+    # a pair counts each time it is listed, at its best rank, however often it is a candidate
+    best = hit.groupBy("s1_id", "cand_id").agg(F.min("rank").alias("rank"), F.max("times").alias("times"))
+    sums = total.crossJoin(best.agg(*(F.coalesce(F.sum(F.when(F.col("rank") < k, F.col("times"))), F.lit(0)).alias(f"h{k}") for k in ks)))
     table = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.when(F.col("n") == 0, 1.0).otherwise(F.col(f"h{k}") / F.col("n")).alias("recall")) for k in ks)))
     return sums.select(table.alias("x")).select("x.k", "x.recall")
 

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import pytest
@@ -136,3 +137,16 @@ def test_blocks_of_targets_are_stored_once(spark):
     ids = [i for country in ("US", "France", "") for b in blocking._stored(dealt.folder, country) for i in b["ids"].to_pylist()]
     assert sorted(ids) == sorted(r["entity_id"] for r in targets.collect())
     assert "CoGroup" not in dealt.query(records, 3)._jdf.queryExecution().toString()  # no copies for the cells of records by targets
+
+
+def test_recall_shuffles_no_pairs(spark):
+    truth = spark.createDataFrame([("a", ["1", "2", "2"]), ("a", ["1"]), ("b", []), ("c", None)], "s1_id string, ids array<string>")
+    cands = spark.createDataFrame([("a", "1", 3), ("a", "1", 0), ("a", "2", 1), ("a", "9", 0), ("c", "1", 0)], "s1_id string, cand_id string, rank int")
+    assert {r["k"]: r["recall"] for r in evaluate.recall_at(truth, cands, (1, 2)).collect()} == {1: 0.5, 2: 1.0}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = evaluate.recall_at(truth, cands, (1, 2))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(s1_id" in plan and not re.search(r"hashpartitioning\(s1_id#\d+, cand_id", plan)
