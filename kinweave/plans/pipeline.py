@@ -43,9 +43,9 @@ def wanted_sets(text: str, n_sets: int) -> list[int]:
     return sets
 
 
-def prepare(s1: DataFrame, *others: DataFrame, transliterator: str = "rules", normalizer: str = "rules") -> tuple[DataFrame, DataFrame]:
-    """Both sides of the matching, normalized."""
-    run = lambda df: df.transform(pick(TRANSLITERATORS, transliterator, "transliterator")).transform(pick(NORMALIZERS, normalizer, "normalizer"))
+def prepare(s1: DataFrame, *others: DataFrame, transliterator: str = "rules", normalizer: str = "rules", columns: tuple[str, ...] = ("*",)) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the matching, normalized; of these the ``columns`` that are wanted later."""
+    run = lambda df: df.transform(pick(TRANSLITERATORS, transliterator, "transliterator")).transform(pick(NORMALIZERS, normalizer, "normalizer")).select(*columns)
     return cut(run(tables.records(s1))), cut(run(tables.records(tables.targets(*others))))
 
 

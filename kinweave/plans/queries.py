@@ -225,7 +225,7 @@ def block_recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_topk_sql(NORMAL)} SELECT s1_id, cand_id, rank, round(score, 4) AS score FROM top")
 def block_topk_normalized(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates after transliteration and the full rules."""
-    s1, t = pipeline.prepare(s1_of(spark, sf), targets_of(spark, sf))
+    s1, t = pipeline.prepare(s1_of(spark, sf), targets_of(spark, sf), columns=("entity_id", "country", "name_norm", "address_norm"))
     return blocking.TrigramBlocker().fit(t).query(s1, 20).select("s1_id", "cand_id", "rank", r("score", "score", 4))
 
 

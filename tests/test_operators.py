@@ -150,3 +150,13 @@ def test_recall_shuffles_no_pairs(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "hashpartitioning(s1_id" in plan and not re.search(r"hashpartitioning\(s1_id#\d+, cand_id", plan)
+
+
+def test_prepared_records_have_only_the_columns_that_are_wanted(spark):
+    from kinweave.plans import pipeline
+
+    raw = spark.createDataFrame([("S1-1", "Acme Inc", "12 Elm St", "US")], "entity_id string, business_name string, business_address string, country string")
+    wanted = ("entity_id", "country", "name_norm", "address_norm")
+    a, b = pipeline.prepare(raw, raw, columns=wanted)
+    assert a.columns == b.columns == list(wanted) and a.count() == b.count() == 1
+    assert {"legal_form", "business_name"} < set(pipeline.prepare(raw, raw)[0].columns)
