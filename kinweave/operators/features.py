@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +41,8 @@ def sides(records: DataFrame, prefix: str) -> DataFrame:
     return r.select(F.col("entity_id").alias(f"{prefix}_id"), *(c.alias(f"{prefix}_{k}") for k, c in cols.items()))
 
 
-def pair_features(pairs: DataFrame, s1: DataFrame, targets: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """``s1_id, cand_id`` and ``COLUMNS``; pairs with an unknown id are dropped.
+def pair_features(pairs: DataFrame, s1: DataFrame, targets: DataFrame, fuzzy: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """``s1_id, cand_id``, the columns of ``pairs`` to ``keep``, and ``COLUMNS``; pairs with an unknown id are dropped.
 
     Without ``fuzzy`` the three ratios that need Python are left out.
     """
@@ -56,4 +58,4 @@ def pair_features(pairs: DataFrame, s1: DataFrame, targets: DataFrame, fuzzy: bo
     }
     if fuzzy:
         made |= {"name_token_set": similarity_column(token_set_ratio, *both("name")), "name_partial": similarity_column(partial_ratio, *both("name")), "addr_token_set": similarity_column(token_set_ratio, *both("addr"))}
-    return x.withColumns(made).select("s1_id", "cand_id", *(c for c in COLUMNS if c in made or c in ("score", "rank", "score_gap")))
+    return x.withColumns(made).select("s1_id", "cand_id", *keep, *(c for c in COLUMNS if c in made or c in ("score", "rank", "score_gap")))

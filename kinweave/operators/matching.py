@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import boosting
 from .evaluate import f05
 from .features import COLUMNS
 
@@ -37,41 +34,35 @@ class Matcher:
     def __init__(self, rounds: int = 400, depth: int = 6, step: float = 0.05, share: float = 0.8, seed: int = 0, weight: float | None = None):
         self.params = {"maxIter": rounds, "maxDepth": depth, "stepSize": step, "subsamplingRate": share, "featureSubsetStrategy": str(share), "seed": seed}
         self.weight = weight
-        self.model: GBTClassificationModel | None = None
-
-    @staticmethod
-    def _vectors(df: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=list(COLUMNS), outputCol="_features").transform(df)
+        self.model: boosting.Forest | None = None
 
     def fit(self, labeled: DataFrame) -> Matcher:
         n = labeled.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q")).first()
-        weight = self.weight if self.weight is not None else n["q"] / n["p"] if n["p"] else 1.0
-        rows = self._vectors(labeled).withColumn("_weight", F.when(F.col("label") == 1, weight).otherwise(1.0))
-        self.model = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", **self.params).fit(rows)
+        weight = self.weight if self.weight is not None else n["q"] / n["p"] if n["p"] and n["q"] else 1.0
+        p = self.params
+        self.model = boosting.fit(labeled, COLUMNS, n["p"] + n["q"], weight, p["maxIter"], p["maxDepth"], p["stepSize"], p["subsamplingRate"], float(p["featureSubsetStrategy"]), p["seed"])
         return self
 
     def predict(self, features: DataFrame) -> DataFrame:
         """Add ``match_proba``."""
         if self.model is None:
             raise ValueError("the matcher has not been fitted")
-        kept = features.columns
-        out = self.model.transform(self._vectors(features))
-        return out.select(*kept, vector_to_array("probability")[1].alias("match_proba"))
+        return features.withColumn("match_proba", self.model.probability([F.col(c).cast("double") for c in COLUMNS]))
 
     def importance(self) -> list[tuple[str, float]]:
         if self.model is None:
             raise ValueError("the matcher has not been fitted")
-        return sorted(zip(COLUMNS, self.model.featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
+        return sorted(zip(COLUMNS, self.model.importance().tolist()), key=lambda x: (-x[1], x[0]))
 
     def save(self, path: str) -> None:
         if self.model is None:
             raise ValueError("the matcher has not been fitted")
-        PipelineModel(stages=[self.model]).write().overwrite().save(path)
+        SparkSession.active().createDataFrame([(self.model.text(),)], "model string").coalesce(1).write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, path: str, **params: object) -> Matcher:
         m = cls(**params)
-        m.model = PipelineModel.load(path).stages[0]
+        m.model = boosting.Forest.of(SparkSession.active().read.parquet(path).first()["model"])
         return m
 
 

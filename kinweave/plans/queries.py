@@ -12,7 +12,7 @@ from ..functions.transliterate import transliterate
 from ..operators import blocking, errors, evaluate, features, matching, split, validate
 from ..sources import sinks, tables
 from . import normal_sql, pipeline
-from .lineage import cut
+from .lineage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -324,9 +324,11 @@ def tune_threshold(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def gbt_match_proba(spark: SparkSession, sf: str) -> DataFrame:
     """Probabilities of boosted trees, fitted as the operator does by default."""
-    labeled = cut(matching.labeled_pairs(_features(spark, sf, True), truth_of(spark, sf)))
-    known = labeled.join(truth_of(spark, sf).select("s1_id"), "s1_id", "left_semi")
-    return matching.Matcher().fit(known).predict(labeled).select("s1_id", "cand_id", r("match_proba", "match_proba"))
+    truth = truth_of(spark, sf)
+    pairs = matching.labeled_pairs(candidates_of(spark, sf).select("s1_id", "cand_id", "score"), truth)  # joined while the rows are narrow
+    pairs = pairs.join(truth.select("s1_id", F.lit(True).alias("known")), "s1_id", "left")
+    labeled = stored(features.pair_features(pairs, *pipeline.prepare(s1_of(spark, sf), targets_of(spark, sf)), keep=("label", "known")))
+    return matching.Matcher().fit(labeled.where("known")).predict(labeled).select("s1_id", "cand_id", r("match_proba", "match_proba"))
 
 
 ENTITY = f"WITH {CAND}, {TRUTH}, {DECIDED.format(t=0.3, m=9)}, {_entity_sql('final')}"

@@ -73,3 +73,12 @@ def test_fuzzy_against_brute_force():
             assert fuzzy.partial_ratio(a, b) == pytest.approx(best)
     assert fuzzy.token_set_ratio("a b", "b a c") == 1 and fuzzy.token_set_ratio("", "x") == 0 and fuzzy.partial_ratio("", "") == 1
     assert fuzzy.token_set_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 1
+
+
+def test_ratios_of_many_pairs_are_those_of_one():
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("ab \0é😀") for _ in range(rng.randint(0, n)))
+    pairs = [(text(n), text(k)) for n in (4, 20, 90) for k in (4, 20, 90) for _ in range(60)] + [("ab" * 32, "ba" * 32), ("a" * 65, "b" * 65), ("", "")]
+    assert fuzzy.partial_ratios(pairs) == [fuzzy.partial_ratio(*p) for p in pairs]
+    assert fuzzy.token_set_ratios(pairs) == [fuzzy.token_set_ratio(*p) for p in pairs]
+    assert fuzzy.lcs_many(pairs) == [fuzzy.lcs(*p) for p in pairs] and fuzzy.partial_ratios([]) == []

@@ -80,6 +80,35 @@ def test_features_and_matcher(spark, tmp_path):
     assert sum(v for _, v in m.importance()) == pytest.approx(1)
 
 
+def test_trees_in_one_stage_are_those_of_spark(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from kinweave.operators import boosting
+
+    value = [F.round(F.rand(i) * 20) / 20 for i in range(len(features.COLUMNS))]
+    rows = spark.range(600).select(F.col("id").cast("string").alias("s1_id"), F.lit("x").alias("cand_id"), *(v.alias(c) for v, c in zip(value, features.COLUMNS)))
+    # shallow, as splits of few rows tie between columns
+    labeled = rows.withColumn("label", (F.col("score") * F.col("name_jaccard") + F.col("num_jaccard") / 4 + F.rand(99) / 5 > 0.5).cast("int")).localCheckpoint()
+    n = labeled.where("label = 1").count()
+    vectors = VectorAssembler(inputCols=list(features.COLUMNS), outputCol="v").transform(labeled).withColumn("w", F.when(F.col("label") == 1, (600 - n) / n).otherwise(1.0))
+    model = GBTClassifier(featuresCol="v", labelCol="label", weightCol="w", maxIter=12, maxDepth=2, stepSize=0.3).fit(vectors)
+    want = model.transform(vectors).withColumn("p", vector_to_array("probability")[1]).drop("v", "w", "probability", "rawPrediction", "prediction").localCheckpoint()
+    for part in (600, 150):  # one task, then four that wait for one another
+        monkeypatch.setattr(boosting, "PART", part)
+        spark.sparkContext.setJobGroup(f"trees{part}", "")
+        m = matching.Matcher(rounds=12, depth=2, step=0.3, share=1.0).fit(labeled)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trees{part}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert jobs < 12  # not one for each level of each tree
+        assert m.predict(want).agg(F.max(F.abs(F.col("p") - F.col("match_proba")))).first()[0] < 1e-9
+    deep = matching.Matcher(rounds=2, depth=8, step=0.3, weight=1.0).fit(labeled)
+    assert max(map(len, (t.column for t in deep.model.trees))) > 1 and deep.predict(labeled).where("(match_proba > 0.5) = (label = 1)").count() > 500
+    with pytest.raises(ValueError):
+        matching.Matcher(rounds=1).fit(labeled.limit(0))
+
+
 def test_split(spark):
     truth = spark.createDataFrame([("S1-1", ["S2-1", "S3-1"]), ("S1-2", [])], "s1_id string, ids array<string>")
     ids = spark.createDataFrame([("S1-1", "s1"), ("S1-2", "s1"), ("S2-1", "s2"), ("S3-1", "s3"), ("S2-é", "s2")], "entity_id string, source string")
