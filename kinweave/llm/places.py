@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .addresses import loose_text, parse_address, place_key, place_of, same_place
-from .pairs import meet, pairs_within
+from .pairs import meet, merged, pairs_within
 
 COSINE = 0.25  #: least cosine of the weighted n-grams of two street names; the grams of a typo are rare and weigh most, so slips have keys of their own
 LOOSE = 0.8  #: least cosine of whole addresses in which no number and street are found; their numbers have to be equal
@@ -63,7 +63,7 @@ def prefix_candidates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     df = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     # as many rows as there are grams of two or three letters
     weights = df.crossJoin(F.broadcast(total)).select("gram", (F.log(F.col("total") / F.col("df")) + 1).alias("w"))
-    weighed = rows.join(weights, "gram")
+    weighed = rows.join(F.broadcast(weights), "gram")
     norm = Window.partitionBy("id")
     unit = weighed.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm)))
     rare = Window.partitionBy("id").orderBy(F.col("w").desc(), "gram").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,11 +72,11 @@ def prefix_candidates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     vector = unit.groupBy("id", "number").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"), F.collect_list(F.when(F.col("rest") >= cosine, F.col("gram"))).alias("prefix"))
     vector = cut(vector)
     index = vector.select("id", "number", F.explode("prefix").alias("gram"))
-    pairs = index.withColumnRenamed("id", "id_1").join(index.withColumnRenamed("id", "id_2"), ["number", "gram"]).where("id_1 < id_2").select("id_1", "id_2").distinct()
+    pairs = index.withColumnRenamed("id", "id_1").join(merged(index.withColumnRenamed("id", "id_2")), ["number", "gram"]).where("id_1 < id_2").select("id_1", "id_2").distinct()
     x = vector.select(F.col("id").alias("id_1"), F.col("v").alias("v1"))
     y = vector.select(F.col("id").alias("id_2"), F.col("v").alias("v2"))
     dot = F.aggregate(F.map_keys("v1"), F.lit(0.0), lambda a, g: a + F.coalesce(F.try_element_at("v1", g) * F.try_element_at("v2", g), F.lit(0.0)))
-    return pairs.join(x, "id_1").join(y, "id_2").where(dot >= cosine - 1e-9).select("id_1", "id_2")
+    return pairs.join(merged(x), "id_1").join(merged(y), "id_2").where(dot >= cosine - 1e-9).select("id_1", "id_2")
 
 
 def street_slips(street: str) -> set[str]:
@@ -96,7 +96,7 @@ def _slips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def slip_candidates(streets: DataFrame) -> DataFrame:
     """``id_1, id_2`` of rows of ``id, number, street`` with the same number whose streets share one of their slips."""
     index = streets.select("id", "number", "street").mapInPandas(_slips, "id string, number string, k string").select("id", F.xxhash64("number", "k").alias("k"))
-    return index.withColumnRenamed("id", "id_1").join(index.withColumnRenamed("id", "id_2"), "k").where("id_1 < id_2").select("id_1", "id_2").distinct()
+    return index.withColumnRenamed("id", "id_1").join(merged(index.withColumnRenamed("id", "id_2")), "k").where("id_1 < id_2").select("id_1", "id_2").distinct()
 
 
 def _town_slips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +118,7 @@ def crowd_pairs(near: DataFrame, keys: DataFrame) -> Iterator[DataFrame]:
     one lacks the town and one, maybe the other, the postcode, nothing tells them apart, so all of these meet; they are one place.
     """
     spread = cut(keys.mapInPandas(_town_slips, "id string, key string, kind string, token string"))
-    left = near.join(spread.select(F.col("id").alias("id_1"), F.col("key").alias("a"), "token", F.col("kind").alias("ka")), "id_1").withColumnRenamed("id_2", "id")
+    left = near.join(merged(spread.select(F.col("id").alias("id_1"), F.col("key").alias("a"), "token", F.col("kind").alias("ka"))), "id_1").withColumnRenamed("id_2", "id")
     right = spread.select("id", F.col("key").alias("b"), "token", F.col("kind").alias("kb"))
     spot = lambda df: df.withColumn("spot", F.xxhash64("id", "token")).drop("id", "token")
     yield meet(spot(left.where("token is not null").select("id", "a", "token")), spot(right.where("token is not null").select("id", "b", "token")), "spot").select("a", "b")
@@ -143,14 +143,14 @@ def matching_keys(parsed: DataFrame) -> DataFrame:
     near = prefix_candidates(distinct.select("id", "number", "grams")).union(slip_candidates(distinct)).distinct()
     near = cut(near.union(distinct.select(F.col("id").alias("id_1"), F.col("id").alias("id_2"))))
     keys = streets.select("id", "key").distinct()
-    crowded = distinct.where(F.col("n") > CROWD).select("id")
+    crowded = merged(distinct.where(F.col("n") > CROWD).select("id"))
     busy = cut(near.join(crowded.withColumnRenamed("id", "id_1"), "id_1", "left_semi").union(near.join(crowded.withColumnRenamed("id", "id_2"), "id_2", "left_semi").select("id_1", "id_2")).distinct())
-    quiet = near.join(busy, ["id_1", "id_2"], "left_anti")
-    all_pairs = quiet.join(keys.select(F.col("id").alias("id_1"), F.col("key").alias("a")), "id_1").join(keys.select(F.col("id").alias("id_2"), F.col("key").alias("b")), "id_2").select("a", "b")
+    quiet = near.join(merged(busy), ["id_1", "id_2"], "left_anti")
+    all_pairs = quiet.join(merged(keys.select(F.col("id").alias("id_1"), F.col("key").alias("a"))), "id_1").join(merged(keys.select(F.col("id").alias("id_2"), F.col("key").alias("b"))), "id_2").select("a", "b")
     found = verified(all_pairs)
     if not busy.isEmpty():  # a plan for what is not there would only burden the driver, as would one plan for all parts
         ends = busy.select(F.col("id_1").alias("id")).union(busy.select("id_2")).distinct()
-        for part in crowd_pairs(busy, keys.join(ends, "id", "left_semi")):
+        for part in crowd_pairs(busy, keys.join(merged(ends), "id", "left_semi")):
             found = found.union(verified(part))
         found = cut(found.distinct())
     return found if loose.isEmpty() else found.union(cut(prefix_candidates(loose, LOOSE).select(F.col("id_1").alias("key_1"), F.col("id_2").alias("key_2"))))
@@ -167,7 +167,7 @@ def same_place_pairs(records: DataFrame) -> DataFrame:
     """
     rows = records.select("entity_id", F.col("business_address").alias("raw")).where("entity_id is not null and raw is not null").distinct()
     parsed = cut(parsed_addresses(rows))
-    placed = cut(rows.join(parsed.select("raw", "key"), "raw"))
+    placed = cut(rows.join(merged(parsed.select("raw", "key")), "raw"))
     inside = pairs_within(placed.select("entity_id", "raw", "key"), ["key"]).select("entity_id_1", "entity_id_2")
     keys = matching_keys(parsed)
     a = placed.select(F.col("entity_id").alias("e1"), F.col("key").alias("key_1"))

@@ -301,3 +301,17 @@ def test_crowds_are_paired_in_plans_of_bounded_size(spark):
     assert max(p._jdf.queryExecution().executedPlan().toString().count("Exchange ") for p in parts) < 15
     towns = {(r["a"].split("/")[5], r["b"].split("/")[5]) for p in parts for r in places.verified(p).select(F.col("key_1").alias("a"), F.col("key_2").alias("b")).collect()}
     assert {tuple(sorted(t)) for t in towns} == {("salem", "salen"), ("", "salem"), ("", "salen"), ("", "dover")}
+
+
+def test_tables_that_explode_are_not_broadcast(spark, tmp_path):
+    """Spark takes these tables, made of a small file, as smaller than its threshold for a broadcast, whatever they hold."""
+    from kinweave.llm.pairs import meet
+
+    rows = spark.createDataFrame([(f"{i % 7}/w{i}", str(i % 7), f"w{i}", ["a", "b"]) for i in range(20)], "id string, number string, street string, grams array<string>")
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    pairs = rows.select(F.col("id").alias("entity_id"), F.col("number").alias("g"), F.col("street").alias("raw"))
+    exploded = lambda i: rows.select(F.col("id").alias(i), F.explode("grams").alias("k"))
+    plans = (places.slip_candidates(rows), places.prefix_candidates(rows.select("id", "number", "grams")), pairs_within(pairs, ["g"]), meet(exploded("a"), exploded("b"), "k"))
+    for df, most in zip(plans, (0, 0, 0, 2)):  # the table of hot keys may be
+        assert df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= most
