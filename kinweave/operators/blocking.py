@@ -74,7 +74,10 @@ def packed_vectors(texts: DataFrame, idf: DataFrame, n: int = 3) -> DataFrame:
 
 
 SLACK = 2e-6  #: scores are compared on six decimals later, so what ties with the k-th stays
-CHUNK = 1 << 21  #: products, or scores, that are held at once
+CHUNK = 1 << 21  #: scores that are held at once
+TINY = np.finfo(float).tiny  #: the least score of a pair that has a gram in common
+DENSE = 8  #: a gram that more than one in so many targets of a block have is multiplied as part of a matrix, of the commonest
+MOST_DENSE = 512
 LISTS = {"known": "<i8", "idfs": "<f8", "ends": "<i8", "rows": "<i4", "tfs": "<i4", "norms": "<f8"}  #: of a block of targets, as bytes
 
 
@@ -109,42 +112,61 @@ def _stored(folder: str, country: str) -> Iterator[dict]:
 def best_of_blocks(queries: pa.Table, blocks: Iterable[dict], k: int) -> pa.Table:
     """``s1_id, cand_id, score``: for each query the ``k`` nearest targets of all blocks, with all that tie with the last.
 
-    The products of a run of queries with a block are added up in one array of queries by targets. What the blocks so far
+    Few common grams make most of the products; they are one product of matrices, of queries and grams with grams and targets. Those of the
+    other grams are added up query by query, while an array of one query's targets stays near the core. What the blocks so far
     have given stays, as far as it is among the best of them; a block only adds what is not below that.
     """
     q_ids, q_norms, q_grams, q_tfs, q_idfs, q_rows = _flat(queries)
     q_weights = (1 + np.log(q_tfs)) * q_idfs / q_norms[q_rows]
-    edges = np.searchsorted(q_rows, np.arange(len(q_ids) + 1))
     rows, scores, cands = np.empty(0, np.int64), np.empty(0), pa.array([], pa.string())
     floor = np.full(len(q_ids), -np.inf)
     for b in blocks:
-        known, t_rows, n = b["known"], b["rows"], len(b["ids"])
+        known, t_rows, n = b["known"], b["rows"].astype(np.intp), len(b["ids"])
         starts = np.append(0, b["ends"][:-1])
         lengths = b["ends"] - starts
         t_weights = (1 + np.log(b["tfs"])) * np.repeat(b["idfs"], lengths) / b["norms"][t_rows]
+        column = np.full(len(known), -1)
+        common = np.flatnonzero(lengths * DENSE > n)
+        common = common[np.argsort(-lengths[common], kind="stable")][:MOST_DENSE]
+        column[common] = np.arange(len(common))
+        matrix = np.zeros((len(common), n))
+        for i, g in enumerate(common):
+            matrix[i, t_rows[starts[g] : b["ends"][g]]] = t_weights[starts[g] : b["ends"][g]]
         at = np.minimum(np.searchsorted(known, q_grams), len(known) - 1)
-        number = np.where(known[at] == q_grams, lengths[at], 0)
-        per_query = np.bincount(q_rows, weights=number, minlength=len(q_ids))
+        there = known[at] == q_grams
+        dense = there & (column[at] >= 0)
+        left = np.zeros((len(q_ids), len(common)))
+        left[q_rows[dense], column[at[dense]]] = q_weights[dense]
+        sparse = there & ~dense
+        rest, rest_weights = at[sparse], q_weights[sparse].tolist()
+        begins, stops = starts[rest].tolist(), b["ends"][rest].tolist()
+        edges = np.searchsorted(q_rows[sparse], np.arange(len(q_ids) + 1)).tolist()
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        begin = 0
-        while begin < len(q_ids):
-            end, products = begin, 0.0
-            while end < len(q_ids) and (end == begin or (products + per_query[end] <= CHUNK and (end + 1 - begin) * n <= CHUNK)):
-                products += per_query[end]
-                end += 1
-            part = slice(edges[begin], edges[end])
-            many = number[part]
-            total = int(many.sum())
-            if total:
-                where = np.arange(total) + np.repeat(starts[at[part]] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
-                cell = np.repeat((q_rows[part] - begin) * n, many) + t_rows[where]
-                found = np.bincount(cell, weights=np.repeat(q_weights[part], many) * t_weights[where], minlength=(end - begin) * n).reshape(end - begin, n)
-                least = floor[begin:end]
-                if n > k and np.isneginf(least).any():
-                    least = np.maximum(least, np.partition(found, n - k, axis=1)[:, n - k] - SLACK)
-                row, col = np.nonzero((found > 0) & (found >= least[:, None]))
-                out.append((row + begin, col, found[row, col]))
-            begin = end
+        step = max(1, min(CHUNK // n, len(q_ids)))
+        # these are used again and again, as fresh memory costs more than the sums
+        scored, mask = np.empty((step, n)), np.empty((step, n), bool)
+        most = int(np.bincount(q_rows[sparse], weights=lengths[rest], minlength=1).max())
+        where, weights = np.empty(most, np.intp), np.empty(most)
+        for begin in range(0, len(q_ids), step):
+            end = min(begin + step, len(q_ids))
+            found = np.matmul(left[begin:end], matrix, out=scored[: end - begin])
+            for i in range(begin, end):
+                x, y = edges[i], edges[i + 1]
+                if x < y:
+                    lists = [slice(u, v) for u, v in zip(begins[x:y], stops[x:y])]
+                    total = sum(v.stop - v.start for v in lists)
+                    np.concatenate([t_rows[v] for v in lists], out=where[:total])
+                    put = 0
+                    for v, w in zip(lists, rest_weights[x:y]):
+                        np.multiply(t_weights[v], w, out=weights[put : put + v.stop - v.start])
+                        put += v.stop - v.start
+                    found[i - begin] += np.bincount(where[:total], weights=weights[:total], minlength=n)
+            least = floor[begin:end]
+            if n > k and np.isneginf(least).any():
+                least = np.maximum(least, np.partition(found, n - k, axis=1)[:, n - k] - SLACK)
+            cell = np.flatnonzero(np.greater_equal(found, np.maximum(least, TINY)[:, None], out=mask[: end - begin]))
+            row, col = np.divmod(cell, n)
+            out.append((row + begin, col, found.ravel()[cell]))
         if out:
             new_rows, new_cols, new_scores = (np.concatenate([o[i] for o in out]) for i in range(3))
             rows, scores = np.concatenate([rows, new_rows]), np.concatenate([scores, new_scores])
