@@ -315,3 +315,14 @@ def test_tables_that_explode_are_not_broadcast(spark, tmp_path):
     plans = (places.slip_candidates(rows), places.prefix_candidates(rows.select("id", "number", "grams")), pairs_within(pairs, ["g"]), meet(exploded("a"), exploded("b"), "k"))
     for df, most in zip(plans, (0, 0, 0, 2)):  # the table of hot keys may be
         assert df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= most
+
+
+def test_pairs_of_numbers_take_less_room_and_vote_alike(spark):
+    rows = [(f"S1-{i:09}", f"Nertubat {w} Traders", f"{12 + i % 3} Surletin Street, Salwol, TX 10000", "US") for i, w in enumerate(("Gilmopok", "Gilmopko", "Lenbovut", "Salwolit") * 2)]
+    one, many = (linkage.parsed_records(records(spark, rows[:n])) for n in (5, 8))
+    text = {tuple(r) for r in linkage.voted(linkage.profiles(one), linkage.profiles(many)).collect()}
+    left, right = linkage.numbered(one), linkage.numbered(many)
+    names = [{r["id"]: r["entity_id"] for r in t.collect()} for t in (left, right)]
+    found = linkage.voted(left, right)
+    assert dict(found.dtypes)["s1_id"] == dict(found.dtypes)["cand_id"] == "bigint"
+    assert {(names[0][r["s1_id"]], names[1][r["cand_id"]], r["net"], r["pattern"]) for r in found.collect()} == text and len(text) > 8
